@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import expected_depth, grow_intervals, local_factors, merge_steps
 from ..functions.kinds import as_double, as_list, col, require_numeric
 from .outliers import validate_anomaly
 from .ordering import with_position
 from .quantiles import exact_quantiles
 
 TREES, SAMPLE = 100, 256
-EULER = 0.5772156649015329
 
 
 def _checked(df: DataFrame, name: str, contamination: float) -> None:
@@ -25,52 +25,17 @@ def _checked(df: DataFrame, name: str, contamination: float) -> None:
 
 
 # -- isolation forest -------------------------------------------------------
-def _expected_depth(n: float) -> float:
-    """Mean path length of an unsuccessful search among n values."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (np.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
-
-
 def _grow_tree(seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
         values = np.sort(pdf["_v"].to_numpy(dtype=float))
         rng = np.random.default_rng([seed, tree])
-        cuts, depths = _grow_intervals(values, rng, int(np.ceil(np.log2(max(len(values), 2)))))
+        cuts, depths = grow_intervals(values, rng, int(np.ceil(np.log2(max(len(values), 2)))))
         return pd.DataFrame({"_tree": [tree], "cuts": [cuts], "depths": [depths]})
 
     return grow
 
 
-def _grow_intervals(values: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[list[float], list[float]]:
-    """A one-column isolation tree as a step function.
-
-    ``depths[i]`` is the path length of a value between ``cuts[i-1]`` and
-    ``cuts[i]``; leaves are visited from left to right.
-    """
-    cuts: list[float] = []
-    depths: list[float] = []
-    # (first, last + 1, depth, cut to the left of this node)
-    stack: list[tuple[int, int, int, float | None]] = [(0, len(values), 0, None)]
-    while stack:
-        start, stop, depth, left_cut = stack.pop()
-        lo, hi = values[start], values[stop - 1]
-        if depth >= limit or stop - start <= 1 or lo == hi:
-            if left_cut is not None:
-                cuts.append(left_cut)
-            depths.append(depth + _expected_depth(stop - start))
-            continue
-        cut = float(rng.uniform(lo, hi))
-        middle = start + int(np.searchsorted(values[start:stop], cut, side="right"))
-        middle = min(max(middle, start + 1), stop - 1)
-        stack.append((middle, stop, depth + 1, cut))
-        stack.append((start, middle, depth + 1, left_cut))
-    return cuts, depths
-
-
 def isolation_scores(
     df: DataFrame, name: str, seed: int = 42, key: str | Iterable[str] | None = None, target: str = "score"
 ) -> DataFrame:
@@ -103,8 +68,8 @@ def isolation_scores(
         _grow_tree(seed), "_tree int, cuts array<double>, depths array<double>"
     ).collect()
     steps = [(np.asarray(t["cuts"], dtype=float), np.asarray(t["depths"], dtype=float)) for t in forest]
-    edges, means = _merge_steps(steps)
-    scale = _expected_depth(size) or 1.0
+    edges, means = merge_steps(steps)
+    scale = expected_depth(size) or 1.0
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -117,16 +82,6 @@ def isolation_scores(
     return scored.withColumn(target, F.when(as_double(df, name).isNotNull(), F.col(target)))
 
 
-def _merge_steps(steps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of step functions, itself a step function over all their cuts."""
-    edges = np.unique(np.concatenate([c for c, _ in steps])) if steps else np.array([])
-    inner = np.append(edges, np.inf)
-    total = np.zeros(len(inner))
-    for cuts, depths in steps:
-        total += depths[np.searchsorted(cuts, inner, side="left")]
-    return edges, total / max(len(steps), 1)
-
-
 def isolation_forest(
     df: DataFrame, name: str, contamination: float = 0.1, seed: int = 42, key: str | Iterable[str] | None = None
 ) -> DataFrame:
@@ -147,40 +102,6 @@ def _flag_top(scored: DataFrame, columns: list[str], contamination: float) -> Da
 CHUNK = 50_000
 
 
-def _nearest(values: np.ndarray, k: int) -> np.ndarray:
-    """Start of the window of k + 1 sorted values that holds each value's k nearest."""
-    m = len(values)
-    places = np.arange(m)
-    best = np.full(m, -1)
-    reach = np.full(m, np.inf)
-    for offset in range(k, -1, -1):
-        start = places - offset
-        valid = (start >= 0) & (start + k < m)
-        safe = np.where(valid, start, 0)
-        far = np.maximum(values - values[safe], values[np.minimum(safe + k, m - 1)] - values)
-        better = valid & (far < reach)
-        best[better], reach[better] = start[better], far[better]
-    return best
-
-
-def _factors(values: np.ndarray, k: int) -> np.ndarray:
-    """Local outlier factor of every value of a sorted array."""
-    starts = _nearest(values, k)
-    distance = np.maximum(values - values[starts], values[starts + k] - values)
-    reached = np.zeros(len(values))
-    places = np.arange(len(values))
-    for step in range(k + 1):
-        other = starts + step
-        gap = np.maximum(np.abs(values - values[other]), distance[other])
-        reached += np.where(other == places, 0.0, gap)
-    density = 1.0 / (reached / k + 1e-10)
-    around = np.zeros(len(values))
-    for step in range(k + 1):
-        other = starts + step
-        around += np.where(other == places, 0.0, density[other])
-    return around / k / density
-
-
 def local_outlier_factors(df: DataFrame, name: str, k: int = 20, target: str = "lof") -> DataFrame:
     """Adds the local outlier factor among the column's values; NULL stays NULL.
 
@@ -207,7 +128,7 @@ def local_outlier_factors(df: DataFrame, name: str, k: int = 20, target: str = "
         if not mine.any():
             return pd.DataFrame({"_at": pd.Series(dtype="int64"), target: pd.Series(dtype="float64")})
         values = pdf["_v"].to_numpy(dtype=float)
-        found = _factors(values, k)
+        found = local_factors(values, k)
         return pd.DataFrame({"_at": pdf["_pos"].to_numpy()[mine], target: found[mine]})
 
     scored = spread.groupBy("_chunk").applyInPandas(score, f"_at bigint, `{target}` double")
