@@ -79,17 +79,23 @@ def merge_steps(steps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 # -- local outlier factor ---------------------------------------------------
 def nearest_windows(values: np.ndarray, k: int) -> np.ndarray:
-    """Start of the window of k + 1 sorted values that holds each value's k nearest."""
+    """Start of the window of k + 1 sorted values that holds each value's k nearest.
+
+    On equal distance the value to the left is the nearer one.
+    """
     m = len(values)
     places = np.arange(m)
-    best = np.full(m, -1)
+    padded = np.append(values, np.inf)
+    best = np.zeros(m, dtype=int)
     reach = np.full(m, np.inf)
     for offset in range(k, -1, -1):
         start = places - offset
         valid = (start >= 0) & (start + k < m)
         safe = np.where(valid, start, 0)
         far = np.maximum(values - values[safe], values[np.minimum(safe + k, m - 1)] - values)
-        better = valid & (far < reach)
+        # Nothing left out on the right may be nearer than what is in.
+        left_out = padded[np.minimum(safe + k + 1, m)] - values
+        better = valid & (left_out >= far) & (far < reach)
         best[better], reach[better] = start[better], far[better]
     return best
 

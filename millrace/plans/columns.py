@@ -197,7 +197,7 @@ def clean_specials(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, ARRAY_TO_STRING(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(p_name || ' o''NEIL a1b', '[A-Za-z]+|[^A-Za-z]+'),
-    w -> UPPER(w[1]) || LOWER(w[2:])), '') AS p_name FROM part"""
+    lambda w: UPPER(w[1]) || LOWER(w[2:])), '') AS p_name FROM part"""
 )
 def title_case(spark: SparkSession, sf: str) -> DataFrame:
     named = table(spark, sf, "part").selectExpr("p_partkey", "p_name || \" o'NEIL a1b\" AS p_name")

@@ -272,7 +272,7 @@ UNION ALL SELECT 'fraction', 'float', CASE WHEN COUNT(TRY_CAST(fraction AS DOUBL
 UNION ALL SELECT 'flag', 'category', 'High', 100.0 * COUNT(DISTINCT flag) / COUNT(*) FROM t
 UNION ALL SELECT 'day', 'datetime', 'High', 100.0 * COUNT(TRY_STRPTIME(day, '%d/%m/%Y')) / COUNT(day) FROM t
 UNION ALL SELECT 'priority', 'category', 'High', 100.0 * COUNT(DISTINCT priority) / COUNT(*) FROM t
-UNION ALL SELECT 'mixed', 'string', 'Medium', NULL FROM t)
+UNION ALL SELECT 'mixed', 'string', 'Medium', NULL FROM t HAVING COUNT(*) > 0)
 SELECT "column", suggested_type, confidence, ROUND(match_pct, 6) AS match_pct FROM s"""
 
 
@@ -535,6 +535,7 @@ def flawed_events(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'warning', 'imbalance', 'side', AVG(CASE WHEN side = 'a' THEN 1.0 ELSE 0.0 END) FROM t HAVING AVG(CASE WHEN side = 'a' THEN 1.0 ELSE 0.0 END) > 0.9
     UNION ALL SELECT 'narrative', 'skewed', 'value', SKEWNESS(value) FROM t HAVING ABS(SKEWNESS(value)) > 2
     UNION ALL SELECT 'recommendation', 'skewed', 'table', CAST(1 AS DOUBLE) FROM t HAVING ABS(SKEWNESS(value)) > 2
+    UNION ALL SELECT 'warning', 'correlated', 'user_id ~ sparse', CORR(user_id, sparse) FROM t HAVING ABS(CORR(user_id, sparse)) > 0.9
     UNION ALL SELECT 'warning', 'correlated', 'event_id ~ twice', CORR(event_id, twice) FROM t HAVING ABS(CORR(event_id, twice)) > 0.9)
     SELECT level, kind, subject, ROUND(metric, 6) AS metric FROM r"""
 )
@@ -545,6 +546,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH t AS {_FLAWED} SELECT * FROM (SELECT 'unit' AS "column", 'Constant' AS type, 'High' AS priority FROM t HAVING COUNT(DISTINCT unit) <= 1
     UNION ALL SELECT 'twice', 'High Correlation', 'Medium' FROM t HAVING ABS(CORR(event_id, twice)) > 0.95
+    UNION ALL SELECT 'sparse', 'High Correlation', 'Medium' FROM t HAVING ABS(CORR(user_id, sparse)) > 0.95
     UNION ALL SELECT 'sparse', 'High Missing', 'High' FROM t HAVING COUNT(*) - COUNT(sparse) > 0.9 * COUNT(*))"""
 )
 def suggest_drops(spark: SparkSession, sf: str) -> DataFrame:
