@@ -80,17 +80,23 @@ def classifiers(features: int, classes: int, rows: int, seed: int = 42) -> dict[
     return models
 
 
-def regressors(rows: int, seed: int = 42) -> dict[str, Estimator]:
-    """The regression models by name; ridge strength 1, lasso and elastic net 0.1."""
+def penalized(l1: float, l2: float, label_std: float) -> Estimator:
+    """Linear regression minimising MSE / 2 + l1 * |w| + l2 / 2 * |w|^2.
+
+    MLlib divides the squared penalty by the label's deviation; undo that.
+    """
+    squared = l2 * label_std
+    strength = l1 + squared
+    return R.LinearRegression(regParam=strength, elasticNetParam=l1 / strength if strength else 0.0, standardization=False)
 
-    def linear(reg: float, l1: float) -> Estimator:
-        return R.LinearRegression(regParam=reg, elasticNetParam=l1, standardization=False)
 
+def regressors(rows: int, label_std: float = 1.0, seed: int = 42) -> dict[str, Estimator]:
+    """The regression models by name; ridge strength 1, lasso and elastic net 0.1."""
     return {
-        "Linear Regression": linear(0.0, 0.0),
-        "Ridge Regression": linear(1 / max(rows, 1), 0.0),
-        "Lasso Regression": linear(0.1, 1.0),
-        "ElasticNet": linear(0.1, 0.5),
+        "Linear Regression": penalized(0.0, 0.0, label_std),
+        "Ridge Regression": penalized(0.0, 1 / max(rows, 1), label_std),
+        "Lasso Regression": penalized(0.1, 0.0, label_std),
+        "ElasticNet": penalized(0.05, 0.05, label_std),
         "Random Forest": R.RandomForestRegressor(numTrees=100, maxDepth=MAX_DEPTH, seed=seed),
         "Decision Tree": R.DecisionTreeRegressor(maxDepth=10, seed=seed),
         "K-Neighbors": KNearest(k=5, problem="regression"),
@@ -200,12 +206,11 @@ def train_models(
         if isinstance(models, Mapping):
             chosen = dict(models)
         else:
-            n = train.count()
+            seen = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("std"), F.max("label").alias("top")).first()
             if problem == "classification":
-                classes = int(rows.agg(F.max("label")).first()[0]) + 1
-                every = classifiers(len(features), classes, n, seed)
+                every = classifiers(len(features), int(seen["top"]) + 1, seen["n"], seed)
             else:
-                every = regressors(n, seed)
+                every = regressors(seen["n"], seen["std"] or 1.0, seed)
             chosen = {m: every[m] for m in (as_list(models) if models is not None else every)}
         scoring = scoring_for(train, "label", problem)
         return [
@@ -291,11 +296,12 @@ class Stack(Estimator):
             joined = joined.unionByName(part)
         outputs = [f"_out{i}" for i in range(len(self.base))]
         if self.problem == "classification":
-            final: Estimator = C.LogisticRegression(featuresCol="_outputs", regParam=0.0)
-            final.setRegParam(1 / max(dataset.count(), 1)).setStandardization(False)
+            final: Estimator = C.LogisticRegression(regParam=1 / max(dataset.count(), 1), standardization=False)
         else:
-            final = R.LinearRegression(featuresCol="_outputs", regParam=1 / max(dataset.count(), 1), standardization=False)
-        top = Pipeline(stages=[VectorAssembler(inputCols=outputs, outputCol="_outputs", handleInvalid="keep"), final]).fit(joined)
+            seen = dataset.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("std")).first()
+            final = penalized(0.0, 1 / max(seen["n"], 1), seen["std"] or 1.0)
+        final.setFeaturesCol("_outputs")
+        top = Pipeline(stages=[VectorAssembler(inputCols=outputs, outputCol="_outputs"), final]).fit(joined)
         base = [pipeline(name, est, self.features).fit(dataset) for name, est in self.base.items()]
         return StackModel(base, top)
 

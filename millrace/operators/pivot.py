@@ -147,22 +147,32 @@ def _column_heads(df: DataFrame, columns: list[str]) -> list[list[str]]:
 
 
 def _margin_rows(df: DataFrame, rows: list[str], columns: list[str], values: list[str], aggs: list[str]) -> DataFrame:
-    """Total cells from complete source rows: per row key, per column key, overall."""
+    """Total cells from complete source rows: per row key, per column key, overall.
+
+    All totals come from one pass over grouping sets; medians, which no pass can
+    combine, are found per set.
+    """
     base = df.select(*[col(k).cast("string").alias(k) for k in rows + columns], *[as_double(df, v).alias(v) for v in values])
     base = base.dropna()
     sets = [rows, columns, []] if columns else [[]]
-    parts = []
-    for keys in sets:
-        grouped = base.groupBy(*[col(k) for k in keys]) if keys else base.groupBy()
-        stats = grouped.agg(F.count(F.lit(1)).alias("_rows"), *_plain(values, aggs)).filter(F.col("_rows") > 0)
-        if "median" in aggs:
-            stats = _with_medians(stats, base, keys, values)
-        labels = []
-        for fields in (rows, columns):
-            for i, k in enumerate(fields):
-                labels.append((col(k) if k in keys else F.lit(TOTAL if i == 0 else "")).alias(k))
-        parts.append(stats.select(*labels, *_cells(values, aggs)))
-    return reduce(DataFrame.unionByName, parts)
+    keys = rows + columns
+    grouped = base.groupingSets([[col(k) for k in s] for s in sets], *[col(k) for k in keys])
+    stats = grouped.agg(F.count(F.lit(1)).alias("_rows"), *_plain(values, aggs)).filter(F.col("_rows") > 0)
+    # Complete rows hold no NULL key, so NULL marks a key that was totalled over.
+    if "median" in aggs:
+        medians = reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True),
+            [exact_quantiles(base, values, [0.5], s).withColumnsRenamed({f"{v}__0": f"{v}__median" for v in values}) for s in sets],
+        )
+        named = medians.select(
+            *[(col(k) if k in medians.columns else F.lit(None).cast("string")).alias(f"_m{i}") for i, k in enumerate(keys)],
+            *[col(f"{v}__median") for v in values],
+        )
+        stats = stats.join(named, [col(k).eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)], "left")
+    labels = [
+        F.coalesce(col(k), F.lit(TOTAL if i == 0 else "")).alias(k) for fields in (rows, columns) for i, k in enumerate(fields)
+    ]
+    return stats.select(*labels, *_cells(values, aggs))
 
 
 def _spread(

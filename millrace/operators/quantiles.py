@@ -1,10 +1,11 @@
 """Exact quantiles that never gather a whole column, or group, in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here a sketch first brackets each wanted rank, and only the
-values inside the narrow bracket (a fixed small share of the group, ties already
-collapsed) are sorted. Both passes combine on the map side, so a group holding a
-third of all rows costs no more shuffle than any other.
+aggregation buffer. Here a sketch first brackets each wanted rank, then the values
+inside the narrow bracket (a fixed small share of the group, ties already
+collapsed) are counted by equal-width step, and only the step that covers the rank
+is sorted. All passes combine on the map side, so a group holding a third of all
+rows costs no more shuffle than any other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, as_list, col
+from ..session import materialize
 
 # A sketch of accuracy A places a quantile within 1/A of its true rank; the
 # bracket spans MARGIN times that on either side. A bracket must also reach a few
@@ -24,6 +26,8 @@ GROUP_ACCURACY = 10_000
 MARGIN = 4
 WIDE_REACH = 0.01
 MIN_RANKS = 3
+# Equal-width steps a bracket is cut into before anything is sorted.
+STEPS = 1024
 
 
 def exact_quantiles(
@@ -60,24 +64,45 @@ def exact_quantiles(
         ]
     )
     brackets = sketch.select(*[F.col(n).alias("b" + n) for n in names], spans.alias("_spans"))
+    # Sketches merge in no fixed order, so the brackets are computed once and kept:
+    # every later pass, and every retry of a task, sees the same ones.
     if keys:
         # Spark broadcasts the brackets when they are small and otherwise splits
         # hot groups of the big side at run time.
-        joined = values.join(brackets, [F.col(n) == F.col("b" + n) for n in names])
+        kept = materialize(brackets, "brackets")
+        joined = values.join(kept, [F.col(n) == F.col("b" + n) for n in names])
     else:
-        joined = values.join(F.broadcast(brackets), F.col("_c") == F.col("b_c"))
+        # One row per column.
+        kept = df.sparkSession.createDataFrame(brackets.collect(), brackets.schema)
+        joined = values.join(F.broadcast(kept), F.col("_c") == F.col("b_c"))
 
     spread = joined.select(*names, "_v", F.inline("_spans")).filter(F.col("_v") <= F.col("_hi"))
-    # Everything below the bracket folds into one NULL entry per group.
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_value")
-    counted = spread.groupBy(*names, "_p", "_h", inside).agg(F.count(F.lit(1)).alias("_count"))
-    order = Window.partitionBy(*names, "_p").orderBy(F.col("_value").asc_nulls_first())
-    ranked = counted.withColumn("_after", F.sum("_count").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Everything below the bracket folds into one NULL entry per group; the rest is
+    # cut into steps, so that even a wide bracket is never sorted in one piece.
+    inside = F.col("_v") >= F.col("_lo")
+    height = F.try_divide((F.col("_v") - F.col("_lo")) * STEPS, F.col("_hi") - F.col("_lo"))
+    step = F.when(inside, F.least(F.floor(F.coalesce(height, F.lit(0.0))), F.lit(STEPS - 1)).cast("int")).otherwise(-1)
+    counted = spread.groupBy(
+        *names, "_p", "_h", F.coalesce(step, F.lit(-1)).alias("_step"), F.when(inside, F.col("_v")).alias("_value")
+    ).agg(F.count(F.lit(1)).alias("_count"))
+
+    per_step = counted.groupBy(*names, "_p", "_h", "_step").agg(F.sum("_count").alias("_size"))
+    ladder = Window.partitionBy(*names, "_p").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    climbed = per_step.withColumn("_after", F.sum("_size").over(ladder))
+    climbed = climbed.withColumn("_before", F.col("_after") - F.col("_size"))
+    # No condition on the step itself: Spark would push it into one side of the join
+    # below and count everything twice.
+    hit = climbed.filter(_covers(F.floor("_h")) | _covers(F.ceil("_h")))
+    keys_of_step = names + ["_p", "_step"]
+    wanted = hit.select(*[F.col(n).alias("w" + n) for n in keys_of_step], F.col("_before").alias("_base"))
+    close = counted.join(wanted, [F.col(n) == F.col("w" + n) for n in keys_of_step])
+
+    order = Window.partitionBy(*keys_of_step).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = close.withColumn("_after", F.col("_base") + F.sum("_count").over(order))
     ranked = ranked.withColumn("_before", F.col("_after") - F.col("_count"))
-
     picked = ranked.groupBy(*names, "_p").agg(
-        F.max(F.when(_holds(F.floor("_h")), F.col("_value"))).alias("_x0"),
-        F.max(F.when(_holds(F.ceil("_h")), F.col("_value"))).alias("_x1"),
+        F.max(F.when(_covers(F.floor("_h")), F.col("_value"))).alias("_x0"),
+        F.max(F.when(_covers(F.ceil("_h")), F.col("_value"))).alias("_x1"),
         F.max(F.col("_h") - F.floor("_h")).alias("_part"),
     )
     missed = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
@@ -124,6 +149,6 @@ def _edge(edges: list[float], at: int, reaches: list[float], outermost: str, lim
     return chosen
 
 
-def _holds(rank: Column) -> Column:
+def _covers(rank: Column) -> Column:
     """The entry whose copies cover the rank."""
-    return F.col("_value").isNotNull() & (F.col("_before") <= rank) & (F.col("_after") > rank)
+    return (F.col("_before") <= rank) & (F.col("_after") > rank)
