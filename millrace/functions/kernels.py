@@ -177,4 +177,15 @@ def distance_blocks(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[i
         yield start, _distances(queries[start : start + step], points)
 
 
+def nearest_in_rows(distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest entries of every row, first column on ties."""
+    take = min(k, distances.shape[1])
+    limit = np.partition(distances, take - 1, axis=1)[:, take - 1]
+    rows, columns = np.nonzero(distances <= limit[:, None])
+    order = np.lexsort((columns, distances[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return rows[place < take], columns[place < take]
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -167,10 +167,40 @@ DATE_FORMATS = (
     "M/d/yyyy h:m a",
 )
 
+# What each letter run of a format may look like in text.
+_DATE_FIELDS = {
+    "yyyy": r"\d{4}",
+    "M": r"(0?[1-9]|1[0-2])",
+    "d": r"(0?[1-9]|[12]\d|3[01])",
+    "H": r"([01]?\d|2[0-3])",
+    "h": r"(0?[1-9]|1[0-2])",
+    "m": r"[0-5]?\d",
+    "s": r"[0-5]?\d",
+    "a": r"(?i:am|pm)",
+}
+
+
+def _date_shape(fmt: str) -> str | None:
+    """A pattern every text of the format matches; None for other format letters."""
+    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]+", fmt)
+    if any(p[0].isalpha() and p not in _DATE_FIELDS for p in parts) or "'" in fmt:
+        return None
+    return "^" + "".join(_DATE_FIELDS.get(p) or re.escape(p) for p in parts) + "$"
+
+
+def _starts_with_digit(c: Column) -> Column:
+    return F.left(c, F.lit(1)).between("0", "9")
+
 
 def parse_timestamp(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """First format that reads the text wins; NULL when none does."""
-    tries = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    """First format that reads the text wins; NULL when none does.
+
+    A failed parse is slow, so text without the shape of a format is never parsed.
+    """
+    tries = []
+    for f in formats:
+        parsed, shape = F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz"), _date_shape(f)
+        tries.append(F.when(_starts_with_digit(c) & c.rlike(shape), parsed) if shape else parsed)
     return tries[0] if len(tries) == 1 else F.coalesce(*tries)
 
 

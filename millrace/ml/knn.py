@@ -21,7 +21,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Cells, as_matrix, distance_blocks
+from ..functions.kernels import Cells, as_matrix, distance_blocks, nearest_in_rows
 from ..functions.kinds import as_double, as_list, col, require_numeric
 
 CELL_ROWS = 10_000
@@ -95,20 +95,16 @@ def _nearest_points(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if qs.empty or ps.empty:
             return pd.DataFrame({"_x": [], "_d": [], "_tk": [], "_y": []})
         ps = ps.sort_values("_tk", kind="stable").reset_index(drop=True)
-        take = min(k, len(ps))
         xs, out = as_matrix(qs["_x"]), []
         for start, d in distance_blocks(xs, as_matrix(ps["_x"])):
-            # A stable sort keeps the smaller key first among equal distances.
-            near = np.argsort(d, axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(d)), take)
-            flat = near.ravel()
+            rows, near = nearest_in_rows(d, k)
             out.append(
                 pd.DataFrame(
                     {
                         "_x": qs["_x"].iloc[start + rows].to_numpy(),
-                        "_d": d[rows, flat],
-                        "_tk": ps["_tk"].iloc[flat].to_numpy(),
-                        "_y": ps["_y"].iloc[flat].to_numpy(),
+                        "_d": d[rows, near],
+                        "_tk": ps["_tk"].iloc[near].to_numpy(),
+                        "_y": ps["_y"].iloc[near].to_numpy(),
                     }
                 )
             )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, as_list, col, numeric_columns, require, require_numeric, text_columns
-from ..functions.moments import rows_from, safe_corr
+from ..functions.moments import null_count, rows_from, safe_corr
 from .ordering import running_before
 from .profile import value_summary
 
@@ -38,6 +38,40 @@ def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of average ranks, over each pair's complete rows.
 
+    Columns without missing values are ranked once for all their pairs. A pair
+    with missing values is ranked over its own complete rows.
+    """
+    names = sorted({c for pair in pairs for c in pair}, key=df.columns.index)
+    nulls = df.agg(*[null_count(as_double(df, c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    full = {c for i, c in enumerate(names) if nulls[f"n{i}"] == 0}
+    shared = [p for p in pairs if set(p) <= full]
+    own = [p for p in pairs if not set(p) <= full]
+    parts = []
+    if shared:
+        ranked = _ranked(df, [c for c in names if any(c in p for p in shared)])
+        parts.append(_pearson_pairs(ranked, shared))
+    if own:
+        parts.append(_own_rank_pairs(df, own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns replaced by the average ranks of their values."""
+    cells = [F.struct(F.lit(i).alias("_c"), as_double(df, c).alias("_v")) for i, c in enumerate(columns)]
+    counts = df.select(F.inline(F.array(*cells))).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_before(counts, ["_v"], "_before", weight="_n", partition_by=["_c"])
+    ranks = placed.select("_c", "_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
+    out = df.select(*[as_double(df, c).alias(c) for c in columns])
+    for i, c in enumerate(columns):
+        # Hot values are split at run time: the rank side has one row per value.
+        mine = ranks.filter(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(f"_r{i}"))
+        out = out.join(mine, col(c) == F.col(f"_v{i}")).drop(f"_v{i}")
+    return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _own_rank_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rank correlation of pairs that each have their own set of complete rows.
+
     Equal (x, y) combinations are counted first and carry their count from then
     on, so hot values collapse before anything is ranked or joined.
     """
@@ -49,12 +83,12 @@ def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     )
     complete = df.select(F.inline(cells)).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     combos = complete.groupBy("_p", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    sides = combos.select(
-        "_p", "_n", F.inline(F.array(F.struct(F.lit(0).alias("_s"), F.col("_x").alias("_v")), F.struct(F.lit(1).alias("_s"), F.col("_y").alias("_v"))))
+    ends = F.array(
+        F.struct(F.lit(0).alias("_s"), F.col("_x").alias("_v")), F.struct(F.lit(1).alias("_s"), F.col("_y").alias("_v"))
     )
-    counts = sides.groupBy("_p", "_s", "_v").agg(F.sum("_n").alias("_n"))
-    ranked = running_before(counts, ["_v"], "_before", weight="_n", partition_by=["_p", "_s"])
-    ranks = ranked.select("_p", "_s", "_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
+    counts = combos.select("_p", "_n", F.inline(ends)).groupBy("_p", "_s", "_v").agg(F.sum("_n").alias("_n"))
+    placed = running_before(counts, ["_v"], "_before", weight="_n", partition_by=["_p", "_s"])
+    ranks = placed.select("_p", "_s", "_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
     for side, value in ((0, "_x"), (1, "_y")):
         mine = ranks.filter(F.col("_s") == side).select("_p", F.col("_v").alias(value), F.col("_rank").alias(f"_r{side}"))
         combos = combos.join(mine, ["_p", value])
@@ -66,10 +100,11 @@ def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     )
     n, a, b = F.col("_n"), F.col("_a"), F.col("_b")
     r = F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b)))
-    solved = centred.groupBy("_p").agg(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("_r"), F.sum(n).alias("_size"))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "_p int, feature_1 string, feature_2 string")
-    known = F.when(F.col("_r").isNotNull() & (F.col("_size") > 1), F.col("_r"))
-    return F.broadcast(names).join(F.broadcast(solved), "_p", "left").select("feature_1", "feature_2", known.alias("correlation"))
+    solved = centred.groupBy("_p").agg(r.alias("_r"))
+    labels = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "_p int, feature_1 string, feature_2 string")
+    # greatest and least skip NULLs, so a constant column needs the guard.
+    known = F.when(F.col("_r").isNotNull(), F.least(F.greatest(F.col("_r"), F.lit(-1.0)), F.lit(1.0)))
+    return F.broadcast(labels).join(F.broadcast(solved), "_p", "left").select("feature_1", "feature_2", known.alias("correlation"))
 
 
 def correlation_pairs(df: DataFrame, columns: Iterable[str] | None = None, method: str = "pearson") -> DataFrame:

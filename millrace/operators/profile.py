@@ -7,13 +7,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.kinds import as_double, as_list, col, digest, kinds, numeric_columns, require, text_columns
+from ..functions.kinds import INTEGRAL, as_double, as_list, col, digest, kinds, numeric_columns, require
 from ..functions.moments import null_count, rows_from, share
 from .quantiles import exact_quantiles
 
 
 # -- building blocks --------------------------------------------------------
+def _cell(df: DataFrame, i: int, name: str, whole: bool) -> Column:
+    """(column number, value) with the value kept in its own kind of field."""
+    dtype = df.schema[name].dataType
+    c = col(name)
+    integral = c.cast("bigint") if isinstance(dtype, INTEGRAL) else None
+    number = c.cast("double") if isinstance(dtype, (T.FloatType, T.DoubleType)) else None
+    text = None
+    if integral is None and number is None:
+        text = (c if whole else digest(df, name)).cast("string")
+    return F.struct(
+        F.lit(i).alias("_c"),
+        (F.lit(None).cast("bigint") if integral is None else integral).alias("_l"),
+        (F.lit(None).cast("double") if number is None else number).alias("_d"),
+        (F.lit(None).cast("string") if text is None else text).alias("_s"),
+    )
+
+
 def value_summary(df: DataFrame, columns: Iterable[str], modes: bool = False) -> DataFrame:
     """One row: per column i its distinct count u<i>, top frequency m<i> and mode t<i>.
 
@@ -24,17 +42,15 @@ def value_summary(df: DataFrame, columns: Iterable[str], modes: bool = False) ->
     columns = as_list(columns)
     if not columns:
         return df.sparkSession.range(1).select()
-    cells = [
-        F.struct(F.lit(i).alias("_c"), (col(c) if modes else digest(df, c)).cast("string").alias("_v"))
-        for i, c in enumerate(columns)
-    ]
+    cells = [_cell(df, i, c, modes) for i, c in enumerate(columns)]
     counts = (
         df.select(F.inline(F.array(*cells)))
-        .filter(F.col("_v").isNotNull())
-        .groupBy("_c", "_v")
+        .filter(F.coalesce(F.col("_l").isNotNull() | F.col("_d").isNotNull() | F.col("_s").isNotNull(), F.lit(False)))
+        .groupBy("_c", "_l", "_d", "_s")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))
+    text = F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), text.alias("v")))
     per_column = counts.groupBy("_c").agg(
         F.count(F.lit(1)).alias("_u"), F.max("_n").alias("_m"), *([best.alias("_b")] if modes else [])
     )
@@ -282,7 +298,3 @@ def cleaning_report(before: DataFrame, after: DataFrame, steps: Iterable[str] =
         F.lit(len(steps)).alias("total_actions"),
         texts(steps[-50:]).alias("recent_actions"),
     )
-
-
-def text_value_columns(df: DataFrame) -> list[str]:
-    return text_columns(df)

@@ -1,16 +1,17 @@
 """Exact quantiles that never gather a whole column, or group, in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here a sketch first brackets each wanted rank, then the values
-inside the narrow bracket (a fixed small share of the group, ties already
-collapsed) are counted by equal-width step, and only the step that covers the rank
-is sorted. All passes combine on the map side, so a group holding a third of all
-rows costs no more shuffle than any other.
+aggregation buffer. Here a sketch first brackets each wanted rank. The values below
+a bracket are only counted; those inside it (a fixed small share of the group) are
+counted by equal-width step, and only the step that covers the rank is sorted. All
+passes combine on the map side, so a group holding a third of all rows costs no
+more shuffle than any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,119 +37,141 @@ def exact_quantiles(
     """Linearly interpolated quantiles, one row per group.
 
     Result columns are the ``by`` keys and ``<column>__<i>`` for the i-th
-    probability. Without ``by`` there is exactly one row. NULL keys are left out.
+    probability. Without ``by`` there is exactly one row. NULL keys are left out,
+    NULL and NaN values ignored.
     """
     columns, keys = as_list(columns), as_list(by)
-    accuracy = GROUP_ACCURACY if keys else GLOBAL_ACCURACY
-    reach = MARGIN / accuracy
-    values = _long_values(df, columns, keys)
-    names = [f"_k{i}" for i in range(len(keys))] + ["_c"]
-
-    reaches = [reach, WIDE_REACH]
-    edges = [max(p - r, 0.0) for p in probs for r in reaches] + [min(p + r, 1.0) for p in probs for r in reaches]
-    sketch = values.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+    names = [f"_k{i}" for i in range(len(keys))]
+    spots = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
+    base = df.select(
+        *[col(k).alias(n) for k, n in zip(keys, names)],
+        *[F.nanvl(as_double(df, c), F.lit(None)).alias(f"_v{j}") for j, c in enumerate(columns)],
     )
-    spans = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_p"),
-                _edge(edges, 2 * i, reaches, "_min", 0.0).alias("_lo"),
-                _edge(edges, 2 * (len(probs) + i), reaches, "_max", 1.0).alias("_hi"),
-                ((F.col("_n") - 1) * F.lit(float(p))).alias("_h"),
-            )
-            for i, p in enumerate(probs)
-        ]
+    for n in names:
+        base = base.filter(F.col(n).isNotNull())
+
+    joined = _with_brackets(base, names, len(columns), probs)
+    below = joined.groupBy(*names).agg(
+        *[F.max(f"_n{j}").alias(f"_n{j}") for j in range(len(columns))],
+        *[F.count_if(F.col(f"_v{j}") < F.col(f"_lo{j}_{i}")).alias(f"_b{j}_{i}") for j, i in spots],
     )
-    brackets = sketch.select(*[F.col(n).alias("b" + n) for n in names], spans.alias("_spans"))
-    # Sketches merge in no fixed order, so the brackets are computed once and kept:
-    # every later pass, and every retry of a task, sees the same ones.
-    if keys:
-        # Spark broadcasts the brackets when they are small and otherwise splits
-        # hot groups of the big side at run time.
-        kept = materialize(brackets, "brackets")
-        joined = values.join(kept, [F.col(n) == F.col("b" + n) for n in names])
-    else:
-        # One row per column.
-        kept = df.sparkSession.createDataFrame(brackets.collect(), brackets.schema)
-        joined = values.join(F.broadcast(kept), F.col("_c") == F.col("b_c"))
-
-    spread = joined.select(*names, "_v", F.inline("_spans")).filter(F.col("_v") <= F.col("_hi"))
-    # Everything below the bracket folds into one NULL entry per group; the rest is
-    # cut into steps, so that even a wide bracket is never sorted in one piece.
-    inside = F.col("_v") >= F.col("_lo")
-    height = F.try_divide((F.col("_v") - F.col("_lo")) * STEPS, F.col("_hi") - F.col("_lo"))
-    step = F.when(inside, F.least(F.floor(F.coalesce(height, F.lit(0.0))), F.lit(STEPS - 1)).cast("int")).otherwise(-1)
-    counted = spread.groupBy(
-        *names, "_p", "_h", F.coalesce(step, F.lit(-1)).alias("_step"), F.when(inside, F.col("_v")).alias("_value")
-    ).agg(F.count(F.lit(1)).alias("_count"))
-
-    per_step = counted.groupBy(*names, "_p", "_h", "_step").agg(F.sum("_count").alias("_size"))
-    ladder = Window.partitionBy(*names, "_p").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
-    climbed = per_step.withColumn("_after", F.sum("_size").over(ladder))
+    starts = _long(below, names, [_start(j, i, probs[i]) for j, i in spots]).filter(F.col("_h").isNotNull())
+
+    counted = _inside(joined, names, spots)
+    at = [*names, "_c", "_p"]
+    per_step = counted.groupBy(*at, "_step").agg(F.sum("_count").alias("_size"))
+    ladder = Window.partitionBy(*at).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    climbed = per_step.withColumn("_climb", F.sum("_size").over(ladder)).join(starts, at)
+    climbed = climbed.withColumn("_after", F.col("_base") + F.col("_climb"))
     climbed = climbed.withColumn("_before", F.col("_after") - F.col("_size"))
-    # No condition on the step itself: Spark would push it into one side of the join
-    # below and count everything twice.
     hit = climbed.filter(_covers(F.floor("_h")) | _covers(F.ceil("_h")))
-    keys_of_step = names + ["_p", "_step"]
-    wanted = hit.select(*[F.col(n).alias("w" + n) for n in keys_of_step], F.col("_before").alias("_base"))
-    close = counted.join(wanted, [F.col(n) == F.col("w" + n) for n in keys_of_step])
+    wanted = hit.select(*[F.col(n).alias("w" + n) for n in [*at, "_step"]], "_h", F.col("_before").alias("_offset"))
+    close = counted.join(wanted, [F.col(n) == F.col("w" + n) for n in [*at, "_step"]])
 
-    order = Window.partitionBy(*keys_of_step).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = close.withColumn("_after", F.col("_base") + F.sum("_count").over(order))
+    order = Window.partitionBy(*at, "_step").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = close.withColumn("_after", F.col("_offset") + F.sum("_count").over(order))
     ranked = ranked.withColumn("_before", F.col("_after") - F.col("_count"))
-    picked = ranked.groupBy(*names, "_p").agg(
+    picked = ranked.groupBy(*at).agg(
         F.max(F.when(_covers(F.floor("_h")), F.col("_value"))).alias("_x0"),
         F.max(F.when(_covers(F.ceil("_h")), F.col("_value"))).alias("_x1"),
-        F.max(F.col("_h") - F.floor("_h")).alias("_part"),
     )
-    missed = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
-    x0, x1, part = F.col("_x0"), F.col("_x1"), F.col("_part")
-    between = F.when(part < 0.5, x0 + (x1 - x0) * part).otherwise(x1 - (x1 - x0) * (1 - part))
-    exact = F.when(x0.isNull() | x1.isNull(), missed).when(x0 == x1, x0).otherwise(between)
-    solved = picked.select(*names, "_p", exact.alias("_q"))
-
-    wide = solved.groupBy(*names[:-1]).agg(
-        *[
-            F.max(F.when((F.col("_c") == j) & (F.col("_p") == i), F.col("_q"))).alias(f"{c}__{i}")
-            for j, c in enumerate(columns)
-            for i in range(len(probs))
-        ]
+    # Every group with a value has a start; one without a pick would be an error.
+    solved = starts.join(picked, at, "left").select(*at, _interpolated().alias("_q"))
+    wide = solved.groupBy(*names).agg(
+        *[F.max(F.when((F.col("_c") == j) & (F.col("_p") == i), F.col("_q"))).alias(f"{columns[j]}__{i}") for j, i in spots]
     )
-    outputs = [col(f"{c}__{i}") for c in columns for i in range(len(probs))]
-    return wide.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *outputs)
+    outputs = [col(f"{columns[j]}__{i}") for j, i in spots]
+    return wide.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *outputs)
 
 
-def _long_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """(keys, column number, value) without NULL or NaN values and NULL keys."""
-    base = df.select(
-        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[as_double(df, c).alias(f"_v{j}") for j, c in enumerate(columns)],
+def _with_brackets(base: DataFrame, names: list[str], width: int, probs: Sequence[float]) -> DataFrame:
+    """Each row with its group's bracket per column and probability.
+
+    Sketches merge in no fixed order, so the brackets are computed once and kept:
+    every later pass, and every retry of a task, sees the same ones.
+    """
+    accuracy = GROUP_ACCURACY if names else GLOBAL_ACCURACY
+    reaches = [MARGIN / accuracy, WIDE_REACH]
+    edges = [max(p - r, 0.0) for p in probs for r in reaches] + [min(p + r, 1.0) for p in probs for r in reaches]
+    wanted = []
+    for j in range(width):
+        v = F.col(f"_v{j}")
+        wanted += [F.count(v).alias(f"_n{j}"), F.min(v).alias(f"_min{j}"), F.max(v).alias(f"_max{j}")]
+        wanted.append(F.percentile_approx(v, edges, accuracy).alias(f"_edges{j}"))
+    sketch = base.groupBy(*names).agg(*wanted)
+    brackets = sketch.select(
+        *[F.col(n).alias("b" + n) for n in names],
+        *[F.col(f"_n{j}") for j in range(width)],
+        *[
+            c
+            for j in range(width)
+            for i in range(len(probs))
+            for c in (
+                _edge(j, edges, 2 * i, reaches, "_min", 0.0).alias(f"_lo{j}_{i}"),
+                _edge(j, edges, 2 * (len(probs) + i), reaches, "_max", 1.0).alias(f"_hi{j}_{i}"),
+            )
+        ],
     )
-    for i in range(len(keys)):
-        base = base.filter(F.col(f"_k{i}").isNotNull())
-    names = [f"_k{i}" for i in range(len(keys))]
-    if len(columns) == 1:
-        long = base.select(*names, F.lit(0).alias("_c"), F.col("_v0").alias("_v"))
-    else:
-        cells = F.array(*[F.struct(F.lit(j).alias("_c"), F.col(f"_v{j}").alias("_v")) for j in range(len(columns))])
-        long = base.select(*names, F.inline(cells))
-    return long.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if names:
+        # Spark broadcasts the brackets when they are small and otherwise splits
+        # hot groups of the big side at run time.
+        kept = materialize(brackets, "brackets")
+        return base.join(kept, [F.col(n) == F.col("b" + n) for n in names])
+    kept = base.sparkSession.createDataFrame(brackets.collect(), brackets.schema)  # a single row
+    return base.crossJoin(F.broadcast(kept))
 
 
-def _edge(edges: list[float], at: int, reaches: list[float], outermost: str, limit: float) -> Column:
+def _edge(j: int, edges: list[float], at: int, reaches: list[float], outermost: str, limit: float) -> Column:
     """The narrowest edge that lies at least MIN_RANKS ranks away from the target."""
-    chosen = F.col(outermost)
+    chosen = F.col(f"{outermost}{j}")
     for step in (1, 0):
         if edges[at + step] != limit:
-            far_enough = F.col("_n") * F.lit(reaches[step]) >= MIN_RANKS
-            chosen = F.when(far_enough, F.col("_edges")[at + step]).otherwise(chosen)
+            far_enough = F.col(f"_n{j}") * F.lit(reaches[step]) >= MIN_RANKS
+            chosen = F.when(far_enough, F.col(f"_edges{j}")[at + step]).otherwise(chosen)
     return chosen
 
 
+def _start(j: int, i: int, prob: float) -> Column:
+    """Wanted rank _h and the number of values below the bracket."""
+    n = F.col(f"_n{j}")
+    rank = F.when(n > 0, (n - 1) * F.lit(float(prob)))
+    return F.struct(F.lit(j).alias("_c"), F.lit(i).alias("_p"), rank.alias("_h"), F.col(f"_b{j}_{i}").alias("_base"))
+
+
+def _long(df: DataFrame, names: list[str], cells: list[Column]) -> DataFrame:
+    return df.select(*names, F.inline(F.array(*cells)))
+
+
+def _inside(joined: DataFrame, names: list[str], spots: list[tuple[int, int]]) -> DataFrame:
+    """Values inside a bracket, counted, with the step of the bracket they fall in."""
+    near = [F.col(f"_v{j}").between(F.col(f"_lo{j}_{i}"), F.col(f"_hi{j}_{i}")) for j, i in spots]
+    # Most rows lie in no bracket and go no further.
+    few = joined.filter(reduce(lambda a, b: a | b, near))
+    cells = [
+        F.struct(
+            F.lit(j).alias("_c"),
+            F.lit(i).alias("_p"),
+            F.col(f"_v{j}").alias("_value"),
+            F.col(f"_lo{j}_{i}").alias("_lo"),
+            F.col(f"_hi{j}_{i}").alias("_hi"),
+        )
+        for j, i in spots
+    ]
+    spread = _long(few, names, cells).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+    height = F.try_divide((F.col("_value") - F.col("_lo")) * STEPS, F.col("_hi") - F.col("_lo"))
+    step = F.least(F.floor(F.coalesce(height, F.lit(0.0))), F.lit(STEPS - 1)).cast("int")
+    return spread.groupBy(*names, "_c", "_p", F.coalesce(step, F.lit(0)).alias("_step"), "_value").agg(
+        F.count(F.lit(1)).alias("_count")
+    )
+
+
 def _covers(rank: Column) -> Column:
     """The entry whose copies cover the rank."""
     return (F.col("_before") <= rank) & (F.col("_after") > rank)
+
+
+def _interpolated() -> Column:
+    x0, x1, part = F.col("_x0"), F.col("_x1"), F.col("_h") - F.floor("_h")
+    between = F.when(part < 0.5, x0 + (x1 - x0) * part).otherwise(x1 - (x1 - x0) * (1 - part))
+    missed = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
+    return F.when(x0.isNull() | x1.isNull(), missed).when(x0 == x1, x0).otherwise(between)

@@ -646,8 +646,8 @@ def skew(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH k AS (SELECT c_mktsegment v, ROW_NUMBER() OVER (ORDER BY c_mktsegment) - 1 AS code FROM {CUSTOMERS.sql} t WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment)
-    SELECT c_custkey, c_name, CAST(code AS INTEGER) AS c_mktsegment FROM {CUSTOMERS.sql} t LEFT JOIN k ON c_mktsegment = v"""
+    SELECT c_custkey, CAST(code AS INTEGER) AS c_mktsegment FROM {CUSTOMERS.sql} t LEFT JOIN k ON c_mktsegment = v"""
 )
 def encode_for_correlation(spark: SparkSession, sf: str) -> DataFrame:
     df = CUSTOMERS.df(spark, sf)
-    return correlation.encode_for_correlation(df).select("c_custkey", "c_name", "c_mktsegment")
+    return correlation.encode_for_correlation(df).select("c_custkey", "c_mktsegment")

@@ -78,9 +78,9 @@ def test_pivot_with_margins_matches_pandas(spark, aggs):
     pdf = pd.DataFrame({"r": rng.choice(["p", "q", None], 200), "c": rng.choice(["u", "v"], 200), "v": rng.normal(size=200)})
     pdf.loc[::9, "v"] = np.nan
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "r string, c string, v double")
-    want = pd.pivot_table(pdf, values="v", index="r", columns="c", aggfunc=aggs, margins=True, margins_name="Total")
+    want = pd.pivot_table(pdf, values=["v"], index="r", columns="c", aggfunc=aggs, margins=True, margins_name="Total")
     got = pivot(df, "r", "v", "c", aggs, fill_value=None, margins=True).toPandas().set_index("r")
-    for agg, head in want.columns.droplevel(1):
+    for agg, _, head in want.columns:
         name = f"v_{agg}_{head}" if len(aggs) > 1 else f"v_{head}"
         for key in ("p", "q", "Total"):
             assert got.loc[key, name] == pytest.approx(want[(agg, "v", head)][key]), (agg, head, key)
