@@ -19,9 +19,10 @@ def series(df: DataFrame, x: str, ys: Iterable[str], group: str | None = None) -
     ys, ids = as_list(ys), [x] + as_list(group)
     require(df, ids)
     require_numeric(df, ys)
-    doubles = df.select(*[col(i) for i in ids], *[as_double(df, y).alias(f"_y{n}") for n, y in enumerate(ys)])
-    pairs = F.array(*[F.struct(F.lit(y).alias("Series"), F.col(f"_y{n}").alias("Value")) for n, y in enumerate(ys)])
-    return doubles.select(*[col(i) for i in ids], F.inline(pairs))
+    # A column may be both x and y, so the ids travel under other names.
+    table = df.select(*[col(c).alias(f"_id{n}") for n, c in enumerate(ids)], *[as_double(df, y).alias(y) for y in ys])
+    long = table.unpivot([f"_id{n}" for n in range(len(ids))], None, "Series", "Value")
+    return long.select(*[F.col(f"_id{n}").alias(c) for n, c in enumerate(ids)], "Series", "Value")
 
 
 def histogram(df: DataFrame, name: str, bins: int = 30, group: str | None = None) -> DataFrame:

@@ -57,14 +57,14 @@ def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns replaced by the average ranks of their values."""
-    cells = [F.struct(F.lit(i).alias("_c"), as_double(df, c).alias("_v")) for i, c in enumerate(columns)]
-    counts = df.select(F.inline(F.array(*cells))).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cells = df.select(*[as_double(df, c).alias(str(i)) for i, c in enumerate(columns)]).unpivot([], None, "_c", "_v")
+    counts = cells.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = running_before(counts, ["_v"], "_before", weight="_n", partition_by=["_c"])
     ranks = placed.select("_c", "_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
     out = df.select(*[as_double(df, c).alias(c) for c in columns])
     for i, c in enumerate(columns):
         # Hot values are split at run time: the rank side has one row per value.
-        mine = ranks.filter(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(f"_r{i}"))
+        mine = ranks.filter(F.col("_c") == str(i)).select(F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(f"_r{i}"))
         out = out.join(mine, col(c) == F.col(f"_v{i}")).drop(f"_v{i}")
     return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 

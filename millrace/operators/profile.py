@@ -15,45 +15,44 @@ from .quantiles import exact_quantiles
 
 
 # -- building blocks --------------------------------------------------------
-def _cell(df: DataFrame, i: int, name: str, whole: bool) -> Column:
-    """(column number, value) with the value kept in its own kind of field."""
-    dtype = df.schema[name].dataType
-    c = col(name)
-    integral = c.cast("bigint") if isinstance(dtype, INTEGRAL) else None
-    number = c.cast("double") if isinstance(dtype, (T.FloatType, T.DoubleType)) else None
-    text = None
-    if integral is None and number is None:
-        text = (c if whole else digest(df, name)).cast("string")
-    return F.struct(
-        F.lit(i).alias("_c"),
-        (F.lit(None).cast("bigint") if integral is None else integral).alias("_l"),
-        (F.lit(None).cast("double") if number is None else number).alias("_d"),
-        (F.lit(None).cast("string") if text is None else text).alias("_s"),
-    )
+def _by_field(df: DataFrame, columns: list[str], whole: bool) -> list[DataFrame]:
+    """(column number, value) tables, one each for whole numbers, floats and the rest.
+
+    Every table reads its own columns only, so together they read each column once.
+    """
+    fields: dict[str, list[Column]] = {}
+    for i, c in enumerate(columns):
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, INTEGRAL):
+            field, value = "bigint", col(c)
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            field, value = "double", col(c)
+        else:
+            field, value = "string", col(c) if whole else digest(df, c)
+        fields.setdefault(field, []).append(value.cast(field).alias(str(i)))
+    return [df.select(*named).unpivot([], None, "_c", "_v") for named in fields.values()]
 
 
 def value_summary(df: DataFrame, columns: Iterable[str], modes: bool = False) -> DataFrame:
     """One row: per column i its distinct count u<i>, top frequency m<i> and mode t<i>.
 
-    All columns are counted in one shuffle of (column, value) pairs, combined on
-    the map side first. Modes are returned as text, smallest among ties; without
-    them long text travels as a digest.
+    Columns of one kind are counted in one shuffle of (column, value) pairs, combined
+    on the map side first. Modes are returned as text, the smallest value among ties;
+    without them long text travels as a digest.
     """
     columns = as_list(columns)
     if not columns:
         return df.sparkSession.range(1).select()
-    cells = [_cell(df, i, c, modes) for i, c in enumerate(columns)]
-    counts = (
-        df.select(F.inline(F.array(*cells)))
-        .filter(F.coalesce(F.col("_l").isNotNull() | F.col("_d").isNotNull() | F.col("_s").isNotNull(), F.lit(False)))
-        .groupBy("_c", "_l", "_d", "_s")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    text = F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string"))
-    best = F.min(F.struct((-F.col("_n")).alias("n"), text.alias("v")))
-    per_column = counts.groupBy("_c").agg(
-        F.count(F.lit(1)).alias("_u"), F.max("_n").alias("_m"), *([best.alias("_b")] if modes else [])
-    )
+    parts = []
+    for cells in _by_field(df, columns, modes):
+        counts = cells.filter(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))
+        summary = counts.groupBy("_c").agg(
+            F.count(F.lit(1)).alias("_u"), F.max("_n").alias("_m"), *([best.alias("_b")] if modes else [])
+        )
+        mode = [F.col("_b.v").cast("string").alias("_t")] if modes else []
+        parts.append(summary.select(F.col("_c").cast("int").alias("_c"), "_u", "_m", *mode))
+    per_column = reduce(DataFrame.unionByName, parts)
     wide: list[Column] = []
     for i in range(len(columns)):
         mine = F.col("_c") == i
@@ -62,7 +61,7 @@ def value_summary(df: DataFrame, columns: Iterable[str], modes: bool = False) ->
             F.coalesce(F.max(F.when(mine, F.col("_m"))), F.lit(0)).alias(f"m{i}"),
         ]
         if modes:
-            wide.append(F.max(F.when(mine, F.col("_b.v"))).alias(f"t{i}"))
+            wide.append(F.max(F.when(mine, F.col("_t"))).alias(f"t{i}"))
     return per_column.agg(*wide)
 
 
@@ -180,9 +179,10 @@ def value_counts(df: DataFrame, name: str, k: int | None = 10, dropna: bool = Tr
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 10) -> DataFrame:
     """The k most frequent values of every column as (column, rank, value, count)."""
     columns = as_list(columns) if columns is not None else list(df.columns)
-    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]
+    require(df, columns)
     counts = (
-        df.select(F.inline(F.array(*cells)))
+        df.select(*[col(c).cast("string").alias(c) for c in columns])
+        .unpivot([], None, "column", "value")
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("count"))
