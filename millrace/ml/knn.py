@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import Cells, as_matrix, distance_blocks, nearest_in_rows
 from ..functions.kinds import as_double, as_list, col, require_numeric
 
-CELL_ROWS = 10_000
+CELL_ROWS = 2_000
 SAMPLE_PER_CELL = 32
 MAX_CELLS = 4096
 

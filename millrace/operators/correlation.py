@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, as_list, col, numeric_columns, require, require_numeric, text_columns
 from ..functions.moments import null_count, rows_from, safe_corr
+from ..session import materialize
 from .ordering import running_before
 from .profile import value_summary
 
@@ -82,7 +83,8 @@ def _own_rank_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         ]
     )
     complete = df.select(F.inline(cells)).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    combos = complete.groupBy("_p", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    # Read twice below, so written once.
+    combos = materialize(complete.groupBy("_p", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "combos")
     ends = F.array(
         F.struct(F.lit(0).alias("_s"), F.col("_x").alias("_v")), F.struct(F.lit(1).alias("_s"), F.col("_y").alias("_v"))
     )

@@ -253,9 +253,21 @@ def misspelt_parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+# The longest common subsequence row by row: each character of one value turns the
+# row of lengths against the prefixes of the other into the next row.
+_FUZZY = f"""WITH v AS (SELECT p_name AS s, COUNT(*) AS n, LENGTH(p_name) AS k, LIST_TRANSFORM(STRING_SPLIT(p_name, ''), lambda c: [UNICODE(c)]) AS cs
+  FROM (SELECT {_MISSPELT} AS p_name FROM part) t WHERE p_name <> '' GROUP BY p_name),
+p AS (SELECT a.s AS value_1, b.s AS value_2, a.n AS count_1, b.n AS count_2, a.k + b.k AS total, LIST_REDUCE(a.cs,
+  lambda row, x: LIST_REDUCE(LIST_TRANSFORM(RANGE(1, b.k + 1), lambda j: [CAST(j AS INTEGER)]),
+    lambda acc, j: LIST_APPEND(acc, GREATEST(acc[-1], row[j[1] + 1], CASE WHEN b.cs[j[1]][1] = x[1] THEN row[j[1]] + 1 ELSE 0 END)), [0]),
+  LIST_TRANSFORM(RANGE(0, b.k + 1), lambda j: 0))[-1] AS lcs FROM v a JOIN v b ON a.s < b.s)
+SELECT value_1, value_2, ROUND(200.0 * lcs / total, 6) AS similarity, count_1, count_2 FROM p WHERE 200 * lcs >= 80 * total"""
+
+
+@query(_FUZZY)
 def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return fuzzy.fuzzy_pairs(misspelt_parts(spark, sf), "p_name", 80)
+    found = fuzzy.fuzzy_pairs(misspelt_parts(spark, sf), "p_name", 80)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT p_partkey, CASE p_name WHEN 'red widget' THEN 'widget' WHEN 'blue widget' THEN 'widget' ELSE p_name END AS p_name FROM part")

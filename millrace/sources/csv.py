@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.kinds import as_list, col
+from ..session import materialize
 
 ENCODINGS = ("utf-8", "latin-1", "iso-8859-1", "cp1252")
 _JAVA_NAMES = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252"}
@@ -55,7 +56,8 @@ def read_csv(
     if limit is not None:
         if order_by:
             raw = raw.orderBy(*[col(c) for c in as_list(order_by)])
-        raw = raw.limit(limit)
+        # Types are judged on the very rows that are returned.
+        raw = materialize(raw.limit(limit), "head")
     return infer_types(raw) if infer else raw
 
 
