@@ -1,0 +1,3 @@
+"""Table preparation on PySpark: operators from one DataFrame to another."""
+
+__version__ = "0.1.0"
