@@ -42,9 +42,6 @@ def pivot_multi(spark: SparkSession, sf: str) -> DataFrame:
     return _round_all(found, 4, "l_returnflag", "l_linestatus")
 
 
-_MEAN = "ROUND(AVG(l_quantity){f}, 6)"
-
-
 @query(
     f"""WITH b AS (SELECT l_returnflag, AVG(l_quantity) FILTER (WHERE l_linestatus = 'F') f, AVG(l_quantity) FILTER (WHERE l_linestatus = 'O') o,
     AVG(l_quantity) t FROM {_COMPLETE} c GROUP BY l_returnflag UNION ALL SELECT 'Total', AVG(l_quantity) FILTER (WHERE l_linestatus = 'F'),
