@@ -15,23 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from millrace.llm import decontaminate, sharding  # noqa: E402
+from millrace.llm import decontaminate, minhash, mixing, sharding, toxicity  # noqa: E402
 from millrace.llm.common import Scratch  # noqa: E402
 from millrace.llm.queries import table  # noqa: E402
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain does not reject."""
+    judged = toxicity.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("NOT rejected").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_one(docs, percent=85)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents free of benchmark passages."""
     return decontaminate.remove_documents(decontaminate.find(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target share asks for, up to three times."""
+    return mixing.repeat(mixing.mix(mixing.measure(docs))).select(*docs.columns)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each kept document goes: its shard among eight and its place in it."""
     return sharding.assign(docs, shards=8)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("near-dedup", one_of_each),
     ("decontamination", decontamination),
+    ("mixing", mixture),
     ("sharding", shards),
 ]
 
