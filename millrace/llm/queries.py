@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, sharding, toxicity
+from . import chat, decontaminate, minhash, mixing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,30 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query("""
+WITH spoken AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS participant FROM spoken WHERE role <> 'system'),
+pieces AS (
+  SELECT p.conv_id, p.participant, s.role,
+    row_number() OVER (PARTITION BY p.conv_id, p.participant ORDER BY s.turn, s.role, md5(s.text)) - 1 AS position,
+    '<|im_start|>' || CASE WHEN s.role = p.participant THEN 'assistant' WHEN s.role = 'system' THEN 'system'
+      ELSE 'user name=' || s.role END || chr(10) AS head,
+    s.text || '<|im_end|>' || chr(10) AS tail
+  FROM people p JOIN spoken s ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, CAST(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, participant ORDER BY position) AS BIGINT) AS piece_end
+  FROM pieces)
+SELECT conv_id, participant, position, role, head || tail AS piece,
+  piece_end - length(head) - length(tail) AS piece_start, piece_end,
+  CASE WHEN role = participant THEN piece_end - length(tail) END AS mask_start,
+  CASE WHEN role = participant THEN piece_end - 1 END AS mask_end
+FROM placed
+""")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
