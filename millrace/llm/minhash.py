@@ -7,9 +7,11 @@ bins (optimal densification). Bands of the signature are bucket keys. A bucket g
 star-shaped candidate edges, from its members to a few centres, so candidates grow
 with the members and never with their square. Candidates are confirmed on full sets.
 
-Bands: 42 of 6 rows. Two sets at the threshold of 0.85 miss every common bucket with
-probability (1 - 0.85^6)^42, about 2e-9. Stars are repeated with new centres, taken
-from the other components of a bucket, until a round links nothing more.
+Bands: 36 of 7 rows. Two sets at the threshold of 0.85 miss every common bucket with
+probability (1 - 0.85^7)^36, about 9e-7. A star misses a link between two members that
+are both far from its centre. So where a bucket still holds several components, each
+member outside the largest is held against the others by signature and its likeliest
+partners are confirmed too, until a round links nothing more.
 
 Scale: documents with equal sets are one node, so copies meet once. Buckets, pairs and
 links are joined on their keys with aggregates combined on the map side; a bucket that
@@ -24,9 +26,12 @@ its group has no other; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -34,9 +39,11 @@ from .common import SPACED, Scratch, mix, ranges_hash, with_columns, words
 from .components import components
 
 SHINGLE = 5
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
-CENTRES = 3
+CENTRES = 2
+NEAREST = 8
+GRID = 4096
 SMALL = 64  # sets below this size skip the comparison of signatures
 _TRIES = np.random.default_rng(11).integers(0, BINS, (4096, BINS))
 _LANES = np.random.default_rng(12).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,6 +128,59 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return both.filter(F.col("i") * 100 >= (F.col("n") + F.col("m") - F.col("i")) * percent).select("a", "b")
 
 
+def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Candidates for the members of a bucket outside its largest component.
+
+    Each meets the members of other components by signature and keeps the ``NEAREST``
+    likeliest. A bucket is cut into a grid of at most ``GRID`` by ``GRID`` members.
+    """
+    sizes = crowded.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    main = main.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("n") / GRID).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / GRID).alias("rounds"))
+    rows = crowded.join(main, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    seat = F.xxhash64("node", "bucket")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    cells = ["bucket", "block", "round"]
+    told = ["node", "component", "n_shingles", "sketch", "asks"]
+    members = rows.withColumn("block", F.pmod(seat, F.col("blocks"))).withColumn("round", every("rounds")).withColumn("asks", F.lit(False))
+    asking = rows.filter("component <> main").withColumn("round", F.pmod(seat, F.col("rounds"))).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    met = members.select(*cells, *told).unionByName(asking.select(*cells, *told)).repartition(*cells).sortWithinPartitions(*cells)
+
+    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
+        ask, all_ = cell[cell["asks"]], cell[~cell["asks"]]
+        out = []
+        if len(ask) and len(all_):
+            sketches = np.frombuffer(b"".join(all_["sketch"]), np.uint8).reshape(-1, BINS)
+            sizes, components_, ids = (all_[c].to_numpy() for c in ("n_shingles", "component", "node"))
+            for a in ask.itertuples():
+                agree = (sketches == np.frombuffer(a.sketch, np.uint8)).sum(axis=1)
+                fits = 100 * np.minimum(sizes, a.n_shingles) >= percent * np.maximum(sizes, a.n_shingles)
+                agree[(components_ == a.component) | ~fits] = -1
+                for k in np.argsort(-agree, kind="stable")[:NEAREST]:
+                    if agree[k] >= 0:
+                        out.append((min(a.node, ids[k]), max(a.node, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cell = held.groupby(cells, sort=False).ngroup()
+            open_ = cell == cell.iloc[-1] if len(cell) else cell
+            made = [pairs(g) for _, g in held[~open_].groupby(cells, sort=False)]
+            held = held[open_]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return scratch.store(met.mapInPandas(stream, f"a {kind}, b {kind}").distinct(), "minhash-rescue")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id linked, however far) and kept."""
     spark = docs.sparkSession
@@ -132,27 +192,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = scratch.store(signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "minhash-groups")
     nodes = signed.join(groups.filter("node IS NOT NULL"), [*same]).filter("doc_id = node").select("node", "n_shingles", "buckets", "sketch").dropDuplicates(["node"])
     nodes = scratch.store(nodes, "minhash-nodes")
-    members = scratch.store(nodes.select("node", F.explode("buckets").alias("bucket")), "minhash-buckets")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "node", "bucket"), F.col("node").alias("node"))).alias(f"c{k}") for k in range(CENTRES)])
-    stars = sizes.filter("n > 1").select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}.node" for k in range(CENTRES)]))).alias("centre"))
+    members = nodes.select("node", F.explode("buckets").alias("bucket"))
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", (F.col("n") > 2).alias("crowded"))
+    members = scratch.store(members.join(full, "bucket"), "minhash-buckets")
+    # The same few nodes lead in all buckets they share, so their pairs repeat and fall together.
+    leads = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), F.col("node").alias("node"))).alias(f"c{k}") for k in range(CENTRES)]
+    stars = members.groupBy("bucket").agg(*leads).select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}.node" for k in range(CENTRES)]))).alias("centre"))
     pairs = members.join(stars, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tested = scratch.store(pairs, "minhash-tested")
     links = scratch.store(_confirmed(tested, nodes, docs, percent, scratch), "minhash-links")
-    crowded = scratch.store(members.join(sizes.filter("n > 2").select("bucket"), "bucket", "left_semi"), "minhash-crowded")
     joined = components(links)
-    for round_ in range(1, 1 << 20):
+    crowded = members.filter("crowded").select("bucket", "node")
+    while True:
         at = crowded.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        # The centre comes from a component drawn in the bucket, and meets all members of the others.
-        draw = F.min(F.struct(F.xxhash64(F.lit(round_), "component", "bucket"), F.xxhash64(F.lit(round_), "node", "bucket"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("c")
-        centres = at.groupBy("bucket").agg(draw, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
-        more = at.join(centres, "bucket").filter("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        more = scratch.store(more.join(tested, ["a", "b"], "left_anti"), "minhash-more")
+        open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+        at = scratch.store(at.join(open_, "bucket", "left_semi"), "minhash-open")
+        more = _rescue(at, nodes, percent, scratch).join(tested, ["a", "b"], "left_anti")
+        more = scratch.store(more, "minhash-more")
         found = scratch.store(_confirmed(more, nodes, docs, percent, scratch), "minhash-links")
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        tested = tested.unionByName(more)
-        joined = components(links)
+        links, tested = links.unionByName(found), tested.unionByName(more)
+        joined, crowded = components(links), at.select("bucket", "node")
     of_group = groups.join(joined, "node", "left").select(*[F.col(c).alias(f"__{c}") for c in same], F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_group, (F.col("n_shingles") == F.col("__n_shingles")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, mixing, neighbours, sharding, toxicity
+from . import chat, decontaminate, langid, minhash, mixing, neighbours, sharding, tokens, toxicity
+from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +68,25 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """A public vocabulary's file and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+@query()
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = vocabulary()
+    written = tokens.encode(table(spark, sf_dir, "documents"), lambda: tokens.byte_pairs(path, pattern))
+    return tokens.counted(Scratch(spark).store(written, "tokens"))
+
+
 @query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
