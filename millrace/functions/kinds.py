@@ -88,7 +88,8 @@ def digest(df: DataFrame, name: str) -> Column:
     """A value equal exactly when the column is equal, but short for long text."""
     c = col(name)
     if kind_of(df.schema[name].dataType) == "text":
-        return F.when(F.length(c) > DIGEST_OVER, F.sha2(c, 256)).otherwise(c)
+        # The first letter tells a digest from a text that spells one.
+        return F.when(F.length(c) > DIGEST_OVER, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(F.concat(F.lit("="), c))
     return c
 
 

@@ -42,28 +42,24 @@ def isolation_scores(
     """Adds the anomaly score in (0, 1); higher is more isolated, NULL stays NULL.
 
     A bounded sample (trees times sample size) is drawn once by a seeded hash of
-    ``key``, or at random without one. Each tree is grown in its own task; the
+    ``key``, or of all columns without one. Each tree is grown in its own task; the
     grown trees are a bounded set of cut points that scores every row in Arrow
     batches.
     """
     require_numeric(df, name)
-    keys = as_list(key)
-    values = df.select(*[col(k) for k in keys], as_double(df, name).alias("_v")).filter(F.col("_v").isNotNull())
-    draw = F.xxhash64(F.lit(seed), *[col(k) for k in keys]) if keys else F.rand(seed)
-    pool = values.withColumn("_draw", draw).orderBy("_draw").limit(TREES * SAMPLE).select("_v", "_draw")
+    draw = F.xxhash64(F.lit(seed), *[col(k) for k in as_list(key) or df.columns])
+    values = df.select(draw.alias("_draw"), as_double(df, name).alias("_v")).filter(F.col("_v").isNotNull())
+    pool = values.orderBy("_draw", "_v").limit(TREES * SAMPLE)
     rows = pool.collect()
     spark = df.sparkSession
     size = min(SAMPLE, len(rows))
     sample = spark.createDataFrame([(float(r["_v"]), i) for i, r in enumerate(rows)], "_v double, _i int")
     trees = sample.crossJoin(F.broadcast(spark.range(TREES).select(F.col("id").cast("int").alias("_tree"))))
-    if len(rows) >= TREES * SAMPLE:
-        # Enough rows: every tree has its own disjoint sample.
-        chosen = sample.withColumn("_tree", F.col("_i") % TREES)
-    else:
-        chosen = trees.withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_i"))
-        edge = chosen.groupBy("_tree").agg(F.sort_array(F.collect_list("_h")).alias("_hs"))
-        edge = edge.select("_tree", F.element_at("_hs", size).alias("_edge"))
-        chosen = chosen.join(F.broadcast(edge), "_tree").filter(F.col("_h") <= F.col("_edge"))
+    # Every tree draws its own rows from the pool, at most TREES * SAMPLE of them, by hash.
+    chosen = trees.withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_i"))
+    edge = chosen.groupBy("_tree").agg(F.sort_array(F.collect_list("_h")).alias("_hs"))
+    edge = edge.select("_tree", F.element_at("_hs", size).alias("_edge"))
+    chosen = chosen.join(F.broadcast(edge), "_tree").filter(F.col("_h") <= F.col("_edge"))
     forest = chosen.select("_tree", "_v").groupBy("_tree").applyInPandas(
         _grow_tree(seed), "_tree int, cuts array<double>, depths array<double>"
     ).collect()

@@ -48,7 +48,7 @@ def label_encode(df: DataFrame, name: str) -> DataFrame:
     values = df.select(text.alias("_label")).distinct()
     codes = with_position(values, ["_label"], "_code")
     joined = df.withColumn("_text", text).join(codes, F.col("_text") == F.col("_label"), "left")
-    return joined.select(*[col(c) for c in df.columns if c != f"{name}_encoded"], F.col("_code").cast("int").alias(f"{name}_encoded"))
+    return joined.select(*[col(c) for c in df.columns if c != f"{name}_encoded"], F.col("_code").cast("bigint").alias(f"{name}_encoded"))
 
 
 SCALERS = ("standard", "minmax", "robust")

@@ -14,7 +14,8 @@ from .quantiles import exact_quantiles
 
 AGGREGATES = ("sum", "mean", "median", "count", "min", "max", "std", "var")
 TOTAL = "Total"
-_SEP = "\u0001"
+# A key may be named Total itself, so totals carry these flags until they are placed.
+_ROW_TOTAL, _COLUMN_TOTAL = "_row_total", "_column_total"
 
 
 def _aggregate(agg: str, c: Column) -> Column:
@@ -97,10 +98,9 @@ def pivot(
     body = group_statistics(df, rows + columns, values, aggs)
     heads = _column_heads(df, columns) if columns else []
     if margins:
-        body = body.select(*[col(k).cast("string").alias(k) for k in rows + columns], *_cells(values, aggs))
+        body = body.select(*[col(k).cast("string").alias(k) for k in rows + columns], *_cells(values, aggs), F.lit(False).alias(_ROW_TOTAL), F.lit(False).alias(_COLUMN_TOTAL))
         body = body.unionByName(_margin_rows(df, rows, columns, values, aggs))
-        heads = heads + [[TOTAL] + [""] * (len(columns) - 1)] if columns else []
-    wide = _spread(body, rows, columns, values, aggs, heads) if columns else _rename(body, rows, values, aggs)
+    wide = _spread(body, rows, columns, values, aggs, heads, margins) if columns else _rename(body, rows, values, aggs)
     outputs = [c for c in wide.columns if c not in rows]
     if fill_value is not None:
         wide = wide.withColumns({c: F.coalesce(col(c), F.lit(float(fill_value))) for c in outputs})
@@ -117,7 +117,7 @@ def _cells(values: list[str], aggs: list[str]) -> list[Column]:
 
 
 def _label(value: str, agg: str, aggs: list[str], head: Iterable[str] = ()) -> str:
-    parts = [value] + ([agg] if len(aggs) > 1 else []) + [h for h in head if h != ""]
+    parts = [value] + ([agg] if len(aggs) > 1 else []) + list(head)
     return "_".join(parts)
 
 
@@ -172,20 +172,26 @@ def _margin_rows(df: DataFrame, rows: list[str], columns: list[str], values: lis
     labels = [
         F.coalesce(col(k), F.lit(TOTAL if i == 0 else "")).alias(k) for fields in (rows, columns) for i, k in enumerate(fields)
     ]
-    return stats.select(*labels, *_cells(values, aggs))
+    flags = [(col(fields[0]).isNull() if fields else F.lit(False)).alias(flag) for fields, flag in ((rows, _ROW_TOTAL), (columns, _COLUMN_TOTAL))]
+    return stats.select(*labels, *_cells(values, aggs), *flags)
 
 
 def _spread(
-    body: DataFrame, rows: list[str], columns: list[str], values: list[str], aggs: list[str], heads: list[list[str]]
+    body: DataFrame, rows: list[str], columns: list[str], values: list[str], aggs: list[str], heads: list[list[str]], margins: bool
 ) -> DataFrame:
-    keyed = body.withColumn("_head", F.concat_ws(_SEP, *[col(c).cast("string") for c in columns]))
-    wanted = [
-        F.max(F.when(F.col("_head") == _SEP.join(head), col(f"{v}__{a}"))).alias(_label(v, a, aggs, head))
-        for v in values
-        for a in aggs
-        for head in heads
-    ]
-    return keyed.groupBy(*[col(r) for r in rows]).agg(*wanted)
+    """One column per value, aggregate and head; the total of all heads comes last."""
+    flags = [F.col(_ROW_TOTAL)] if margins else []
+    total = F.col(_COLUMN_TOTAL) if margins else F.lit(False)
+    places = [(head, ~total & reduce(lambda a, b: a & b, [col(c).cast("string") == h for c, h in zip(columns, head, strict=True)])) for head in heads]
+    if margins:
+        places.append(([TOTAL], total))
+    labels = [_label(v, a, aggs, head) for v in values for a in aggs for head, _ in places]
+    twice = {x for x in [*labels, *rows] if [*labels, *rows].count(x) > 1}
+    if twice:
+        raise ValueError(f"column keys give one name to several columns: {', '.join(sorted(twice))}")
+    wanted = [F.max(F.when(here, col(f"{v}__{a}"))) for v in values for a in aggs for _, here in places]
+    wide = body.groupBy(*[col(r) for r in rows], *flags).agg(*[w.alias(x) for w, x in zip(wanted, labels, strict=True)])
+    return wide.drop(_ROW_TOTAL)
 
 
 def _normalized(wide: DataFrame, rows: list[str], outputs: list[str], normalize: str) -> DataFrame:

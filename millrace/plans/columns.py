@@ -242,14 +242,14 @@ def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_bins(text.length_histogram(table(spark, sf, "documents"), "text"))
 
 
-_MISSPELT = "CASE WHEN p_partkey % 3 = 0 THEN SUBSTR(p_name, 1, p_partkey % 5) || SUBSTR(p_name, p_partkey % 5 + 2, 100) ELSE p_name END"
+_MISSPELT = "CASE WHEN p_partkey % 3 = 0 THEN SUBSTR(p_name, 1, p_partkey % 5) || SUBSTR(p_name, p_partkey % 5 + 2) ELSE p_name END"
 
 
 def misspelt_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Part names, every third with one character dropped."""
     return table(spark, sf, "part").selectExpr(
         "p_partkey",
-        "CASE WHEN p_partkey % 3 = 0 THEN SUBSTR(p_name, 1, CAST(p_partkey % 5 AS INT)) || SUBSTR(p_name, CAST(p_partkey % 5 + 2 AS INT), 100) ELSE p_name END AS p_name",
+        "CASE WHEN p_partkey % 3 = 0 THEN SUBSTR(p_name, 1, CAST(p_partkey % 5 AS INT)) || SUBSTR(p_name, CAST(p_partkey % 5 + 2 AS INT)) ELSE p_name END AS p_name",
     )
 
 

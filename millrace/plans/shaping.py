@@ -65,6 +65,32 @@ def pivot_median_margins(spark: SparkSession, sf: str) -> DataFrame:
     return _round_all(found, 6, "l_returnflag")
 
 
+_TITLED = "(SELECT CASE WHEN o_orderstatus = 'O' THEN 'Total' ELSE o_orderstatus END AS status, o_orderpriority, o_totalprice FROM orders)"
+
+
+@query(
+    f"""SELECT status, ROUND(SUM(o_totalprice), 2) AS o_totalprice FROM {_TITLED} t GROUP BY status
+    UNION ALL SELECT 'Total', ROUND(SUM(o_totalprice), 2) FROM {_TITLED} t"""
+)
+def pivot_total_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A key that is itself named Total keeps a row of its own beside the total."""
+    orders = table(spark, sf, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "O", "Total").otherwise(F.col("o_orderstatus")))
+    return _round_all(pivot(orders, "status", "o_totalprice", margins=True), 2, "status")
+
+
+@query(
+    """SELECT l_returnflag, """
+    + ", ".join(f"""ROUND(COALESCE(SUM(l_quantity) FILTER (WHERE l_linestatus = '{s}' AND l_linenumber = {n}), 0), 2) AS "l_quantity_{s}_{n}\"""" for s in "FO" for n in (1, 2))
+    + """, ROUND(SUM(l_quantity), 2) AS "l_quantity_Total" FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_returnflag
+    UNION ALL SELECT 'Total', """
+    + ", ".join(f"""ROUND(COALESCE(SUM(l_quantity) FILTER (WHERE l_linestatus = '{s}' AND l_linenumber = {n}), 0), 2)""" for s in "FO" for n in (1, 2))
+    + """, ROUND(SUM(l_quantity), 2) FROM lineitem WHERE l_linenumber <= 2"""
+)
+def pivot_two_columns(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+    return _round_all(pivot(lines, "l_returnflag", "l_quantity", ["l_linestatus", "l_linenumber"], margins=True), 2, "l_returnflag")
+
+
 _SUMS = f"""(SELECT l_returnflag, SUM(l_quantity) FILTER (WHERE l_linestatus = 'F') f, SUM(l_quantity) FILTER (WHERE l_linestatus = 'O') o
 FROM {_KEYED} t GROUP BY l_returnflag)"""
 
@@ -133,7 +159,7 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH t AS {CUSTOMERS.sql}, k AS (SELECT COALESCE(c_name, 'nan') v, ROW_NUMBER() OVER (ORDER BY COALESCE(c_name, 'nan')) - 1 AS code FROM t GROUP BY COALESCE(c_name, 'nan'))
-    SELECT c_custkey, c_name, CAST(code AS INTEGER) AS c_name_encoded FROM t JOIN k ON COALESCE(c_name, 'nan') = v"""
+    SELECT c_custkey, c_name, CAST(code AS BIGINT) AS c_name_encoded FROM t JOIN k ON COALESCE(c_name, 'nan') = v"""
 )
 def label_encode(spark: SparkSession, sf: str) -> DataFrame:
     return features.label_encode(CUSTOMERS.df(spark, sf).select("c_custkey", "c_name"), "c_name")
@@ -232,10 +258,17 @@ def csv_missing_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000")
 def csv_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Only the first 10,000 rows of a large CSV file, in a stated order."""
-    orders = table(spark, sf, "orders").selectExpr("lpad(o_orderkey, 12, '0') AS o_orderkey", "o_totalprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return csv.read_csv(spark, _stored(spark, orders, "orders"), limit=10_000, order_by=["o_orderkey"])
 
 
+@query("SELECT 9007199254740993000 + c_custkey AS id, CAST('99999999999999999999' || CAST(c_nationkey + 10 AS VARCHAR) AS DECIMAL(38, 0)) AS wide FROM customer")
+def csv_long_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of 19 and 22 digits keep every digit through CSV."""
+    ids = table(spark, sf, "customer").selectExpr("9007199254740993000 + c_custkey AS id", "'99999999999999999999' || CAST(c_nationkey + 10 AS STRING) AS wide")
+    return csv.read_csv(spark, _stored(spark, ids, "ids"))
+
+
 @query("SELECT n_nationkey, n_name || 'é' AS n_name FROM nation")
 def csv_encoding(spark: SparkSession, sf: str) -> DataFrame:
     """A Latin-1 file is recognised and decoded."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import columns as ops
-from millrace.operators import profile, text
+from millrace.operators import dedup, profile, text
 from millrace.plans import ORACLES, QUERIES
 from millrace.sources import csv, sinks
 from millrace.streaming import rowwise
@@ -20,6 +20,36 @@ def test_csv_types_and_missing_text(spark, tmp_path):
     assert csv.read_csv(spark, path, limit=1, order_by=["t"]).count() == 1
 
 
+def test_csv_keeps_long_numbers_and_refuses_surplus_fields(spark, tmp_path):
+    path = str(tmp_path / "long.csv")
+    with open(path, "w") as f:
+        f.write("id,wide,over\n9007199254740993001,12345678901234567890123," + "9" * 40 + "\n9007199254740993002,5,1\n9007199254740993003,,2\n7\n")
+    df = csv.read_csv(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "wide": "decimal(38,0)", "over": "string"}
+    assert {r.id for r in df.collect()} == {9007199254740993001, 9007199254740993002, 9007199254740993003, 7}
+    with open(path, "w") as f:
+        f.write("x,y\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        csv.read_csv(spark, path).collect()
+    with pytest.raises(Exception, match="more than 2 fields"):
+        csv.read_csv(spark, path, infer=False).select("y").collect()
+
+
+def test_csv_limit_orders_by_typed_values(spark, tmp_path):
+    path = str(tmp_path / "n.csv")
+    with open(path, "w") as f:
+        f.write("n\n10\n9\n100\n")
+    assert [r.n for r in csv.read_csv(spark, path, limit=2, order_by=["n"]).collect()] == [9, 10]
+
+
+def test_a_text_that_spells_a_digest_is_a_value_of_its_own(spark):
+    long = "x" * 100
+    spelled = spark.range(1).select(F.sha2(F.lit(long), 256).alias("s")).first().s
+    df = spark.createDataFrame([(long,), (spelled,), ("#" + spelled,)], "t string")
+    assert profile.column_info(df).first().asDict()["unique"] == 3
+    assert QUERIES and dedup.duplicate_stats(df).first()["duplicate_rows"] == 0
+
+
 def test_csv_encodings_and_line_breaks(spark, tmp_path):
     latin, lines = str(tmp_path / "l.csv"), str(tmp_path / "m.csv")
     with open(latin, "wb") as f:

@@ -205,3 +205,14 @@ def test_chart_tables(sample):
     inside = part[(part >= q1 - 1.5 * (q3 - q1)) & (part <= q3 + 1.5 * (q3 - q1))]
     assert (box[1].upper_whisker, box[1].outliers) == (inside.max(), len(part) - len(inside))
     assert chart.value_share(df, "g").agg(F.sum("share")).first()[0] == pytest.approx(1.0)
+
+
+def test_pivot_keeps_a_key_named_total_and_refuses_clashing_names(spark):
+    df = spark.createDataFrame([("Total", "Total", 1.0), ("b", "x", 5.0)], "k string, c string, v double")
+    rows = [tuple(r) for r in pivot(df, "k", "v", margins=True).collect()]
+    assert sorted(rows) == [("Total", 1.0), ("Total", 6.0), ("b", 5.0)]
+    with pytest.raises(ValueError, match="one name"):
+        pivot(df, "k", "v", "c", margins=True)
+    clash = spark.createDataFrame([("r", "a_b", "c", 1.0), ("r", "a", "b_c", 2.0)], "k string, c string, d string, v double")
+    with pytest.raises(ValueError, match="one name"):
+        pivot(clash, "k", "v", ["c", "d"])
