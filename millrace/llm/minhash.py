@@ -15,8 +15,9 @@ partners are confirmed too, until a round links nothing more.
 
 Scale: documents with equal sets are one node, so copies meet once. Buckets, pairs and
 links are joined on their keys with aggregates combined on the map side; a bucket that
-holds a third of all nodes is only ever joined, which adaptive execution splits. Full
-sets are made for documents in a candidate pair alone.
+holds a third of all nodes is only ever joined, which adaptive execution splits, or cut
+into a grid. A pair meets by its texts, which are smaller than their sets, and only if
+the signatures leave it a chance.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; with fewer than five words the whole sequence is the one shingle; rows
@@ -33,16 +34,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType
 
-from .common import SPACED, Scratch, mix, ranges_hash, with_columns, words
+from .common import SPACED, Scratch, mix, pieces, ranges_hash, with_columns, words
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
-CENTRES = 2
-NEAREST = 8
+NEAREST = 4
 GRID = 4096
 SMALL = 64  # sets below this size skip the comparison of signatures
 _TRIES = np.random.default_rng(11).integers(0, BINS, (4096, BINS))
@@ -120,12 +120,19 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     likely = (F.least("n_a", "n_b") < SMALL) | (_agreeing("sketch_a", "sketch_b") >= floor)
     known = scratch.store(known.withColumn("likely", likely).filter("likely").select("a", "b"), "minhash-pairs")
     wanted = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
-    sets = with_columns(sets, "text", "shingles array<bigint>", lambda t: [pa.array([s.view(np.int64) for s in shingle_sets(t)], pa.list_(pa.int64()))])
-    sets = scratch.store(sets.select("doc_id", "shingles").dropDuplicates(["doc_id"]), "minhash-sets")
-    both = known.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), F.size("set_a").alias("n"), F.size("set_b").alias("m"))
-    return both.filter(F.col("i") * 100 >= (F.col("n") + F.col("m") - F.col("i")) * percent).select("a", "b")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    texts = scratch.store(texts.select("doc_id", "text"), "minhash-texts")
+
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi in pieces(a):  # the sets, and so the texts, of a pair are of a size
+            for x, y in zip(shingle_sets(a[lo:hi]), shingle_sets(b[lo:hi]), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pa.array(out, pa.bool_())
+
+    both = known.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.withColumn("linked", F.arrow_udf(linked, BooleanType())("text_a", "text_b")).filter("linked").select("a", "b")
 
 
 def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -195,9 +202,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", (F.col("n") > 2).alias("crowded"))
     members = scratch.store(members.join(full, "bucket"), "minhash-buckets")
-    # The same few nodes lead in all buckets they share, so their pairs repeat and fall together.
-    leads = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), F.col("node").alias("node"))).alias(f"c{k}") for k in range(CENTRES)]
-    stars = members.groupBy("bucket").agg(*leads).select("bucket", F.explode(F.array_distinct(F.array(*[f"c{k}.node" for k in range(CENTRES)]))).alias("centre"))
+    # A node that leads does so in all buckets it shares, so its pairs repeat and fall together.
+    lead = F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node"))).alias("lead")
+    stars = members.groupBy("bucket").agg(lead).select("bucket", F.col("lead.node").alias("centre"))
     pairs = members.join(stars, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tested = scratch.store(pairs, "minhash-tested")
     links = scratch.store(_confirmed(tested, nodes, docs, percent, scratch), "minhash-links")
