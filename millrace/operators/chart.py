@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import SALT, salted_join
 from ..functions.kinds import as_double, as_list, col, require, require_numeric
 from .ordering import with_position
 from .quantiles import exact_quantiles
@@ -68,17 +69,24 @@ def box_stats(df: DataFrame, name: str, group: str | None = None) -> DataFrame:
         F.col("_v__2").alias("q3"),
     )
     if keys:
-        joined = values.join(quartiles, [col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
+        joined = salted_join(values, quartiles, [(k, f"_k{i}") for i, k in enumerate(keys)])
     else:
-        joined = values.crossJoin(F.broadcast(quartiles))
+        joined = values.crossJoin(F.broadcast(quartiles)).withColumn(SALT, F.lit(0))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
-    return joined.groupBy(*[col(k) for k in keys], "q1", "median", "q3").agg(
+    at = [*[col(k) for k in keys], "q1", "median", "q3"]
+    per_part = joined.groupBy(*at, SALT).agg(
         F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
         F.count_if(~inside).alias("outliers"),
         F.count(F.lit(1)).alias("count"),
     )
+    return per_part.groupBy(*at).agg(
+        F.min("lower_whisker").alias("lower_whisker"),
+        F.max("upper_whisker").alias("upper_whisker"),
+        F.sum("outliers").alias("outliers"),
+        F.sum("count").alias("count"),
+    )
 
 
 def ols(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:

@@ -49,20 +49,20 @@ def findings(df: DataFrame) -> DataFrame:
         ),
         _row(
             "narrative", "duplicates", "table", F.col("duplicates"),
-            F.format_string("Found %d duplicate rows (%.1f%%)", F.col("duplicates"), dup_share * 100), F.col("duplicates") > 0,
+            F.format_string("%d rows repeat an earlier one (%.1f%%)", F.col("duplicates"), dup_share * 100), F.col("duplicates") > 0,
         ),
-        _row("recommendation", "duplicates", "table", dup_share, F.lit("Consider removing duplicate rows"), dup_share > 0.1),
+        _row("recommendation", "duplicates", "table", dup_share, F.lit("drop repeated rows"), dup_share > 0.1),
     ]
     for i, c in enumerate(names):
         part = share(nulls[i], rows)
         found.append(_row("warning", "high_missing", c, part, F.format_string("%s has >50%% missing data", F.lit(c)), part > 0.5))
-        found.append(_row("warning", "constant", c, F.col(f"u{i}"), F.format_string("%s has only 1 unique value", F.lit(c)), F.col(f"u{i}") <= 1))
+        found.append(_row("warning", "constant", c, F.col(f"u{i}"), F.format_string("%s never varies", F.lit(c)), F.col(f"u{i}") <= 1))
         if c in texts:
             top = share(F.col(f"m{i}"), rows - nulls[i])
             found.append(
                 _row(
                     "warning", "imbalance", c, top,
-                    F.format_string("'%s' is highly imbalanced (%.1f%% in one class)", F.lit(c), top * 100),
+                    F.format_string("one value of '%s' covers %.1f%% of the rows", F.lit(c), top * 100),
                     F.col(f"u{i}").between(2, 10) & (top > 0.9),
                 )
             )
@@ -74,7 +74,7 @@ def findings(df: DataFrame) -> DataFrame:
     if skewed:
         some = reduce(lambda a, b: a | b, [F.coalesce(s, F.lit(False)) for s in skewed])
         count = total([F.coalesce(s, F.lit(False)).cast("int") for s in skewed])
-        found.append(_row("recommendation", "skewed", "table", count, F.lit("Consider log transformation for skewed features"), some))
+        found.append(_row("recommendation", "skewed", "table", count, F.lit("try logarithms on the skewed columns"), some))
     result = rows_from(one_row, found).filter("_shown").drop("_shown")
     if pairs:
         strong = correlation_pairs(df, numbers).filter(F.abs("correlation") > 0.9)
@@ -84,7 +84,7 @@ def findings(df: DataFrame) -> DataFrame:
                 F.lit("correlated").alias("kind"),
                 F.concat_ws(" ~ ", "feature_1", "feature_2").alias("subject"),
                 F.col("correlation").alias("metric"),
-                F.lit("Consider removing redundant features").alias("message"),
+                F.lit("one column of the pair is enough").alias("message"),
             )
         )
     return result
@@ -106,15 +106,15 @@ def suggest_drops(df: DataFrame) -> DataFrame:
     rows = []
     for i, c in enumerate(names):
         pct = share(F.col(f"n{i}"), F.col("rows")) * 100
-        rows.append(row(c, F.lit("Constant (only 1 unique value)"), "Constant", F.col(f"u{i}") <= 1))
-        rows.append(row(c, F.format_string("%.1f%% missing values", pct), "High Missing", pct > 90))
+        rows.append(row(c, F.lit("never varies"), "Constant", F.col(f"u{i}") <= 1))
+        rows.append(row(c, F.format_string("empty in %.1f%% of the rows", pct), "High Missing", pct > 90))
     result = rows_from(one_row, rows).filter("_shown").drop("_shown")
     if len(numbers) >= 2:
         strong = correlation_pairs(df, numbers).filter(F.abs("correlation") > 0.95)
         result = result.unionByName(
             strong.select(
                 F.col("feature_2").alias("column"),
-                F.format_string("Highly correlated with %s (r=%.3f)", "feature_1", F.abs("correlation")).alias("reason"),
+                F.format_string("follows %s (r=%.3f)", "feature_1", F.abs("correlation")).alias("reason"),
                 F.lit("High Correlation").alias("type"),
                 F.lit("Medium").alias("priority"),
             )
@@ -138,12 +138,12 @@ def select_features(df: DataFrame) -> DataFrame:
     def reason(i: int, c: str) -> Column:
         dtype = df.schema[c].dataType
         distinct, missing = share(F.col(f"u{i}"), F.col("rows")), share(F.col(f"n{i}"), F.col("rows"))
-        why = F.when(F.col(f"u{i}") <= 1, "Constant column (only 1 unique value)")
+        why = F.when(F.col(f"u{i}") <= 1, "never varies")
         if isinstance(dtype, (T.StringType, T.LongType, T.IntegerType)):
-            why = why.when(distinct > 0.95, F.format_string("Likely ID column (%.1f%% unique)", distinct * 100))
-        why = why.when(missing > 0.8, F.format_string("High missing values (%.1f%%)", missing * 100))
+            why = why.when(distinct > 0.95, F.format_string("looks like a key (%.1f%% distinct)", distinct * 100))
+        why = why.when(missing > 0.8, F.format_string("mostly empty (%.1f%%)", missing * 100))
         if isinstance(dtype, T.StringType):
-            why = why.when(F.col(f"u{i}") > 20, "Text column (needs encoding first)")
+            why = why.when(F.col(f"u{i}") > 20, "text that must be encoded first")
         return why
 
     ruled = rows_from(
@@ -165,6 +165,6 @@ def select_features(df: DataFrame) -> DataFrame:
         strong = strong.join(F.broadcast(passed.withColumnRenamed("column", "_first")), "_first")
         first = strong.groupBy("_second").agg(F.min_by(F.struct("_first", "_r"), "_at").alias("_hit"))
         ruled = ruled.join(F.broadcast(first), F.col("column") == F.col("_second"), "left")
-        redundant = F.format_string("High correlation with %s (r=%.3f)", F.col("_hit._first"), F.col("_hit._r"))
+        redundant = F.format_string("follows %s (r=%.3f)", F.col("_hit._first"), F.col("_hit._r"))
         ruled = ruled.withColumn("reason", F.coalesce(F.col("reason"), F.when(F.col("_second").isNotNull(), redundant)))
     return ruled.select("column", F.col("reason").isNull().alias("selected"), "reason")

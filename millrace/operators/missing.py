@@ -153,16 +153,16 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
                 F.col(f"k{i}"), "Fill with Mean", "Fill with Median", "Fill with 10th Percentile", "Fill with 90th Percentile"
             )
             reason = _by_skew(
-                F.col(f"k{i}"), "Nearly symmetric distribution", "Moderately skewed distribution", "Highly right-skewed", "Highly left-skewed"
+                F.col(f"k{i}"), "the values lie evenly around their mean", "one tail pulls the mean away", "a long tail of large values", "a long tail of small values"
             )
         elif by_kind[c] == "text":
             j = texts.index(c)
             top = share(F.col(f"m{j}"), F.col("rows"))
             action = F.when(top > 0.5, "Fill with Mode").otherwise('Fill with "Unknown"')
-            clear = F.format_string("Clear mode (%.1f%% frequency)", top * 100)
-            reason = F.when(F.col(f"u{j}") == 0, "No mode available").when(top > 0.5, clear).otherwise("No dominant category")
+            clear = F.format_string("one value makes up %.1f%% of the rows", top * 100)
+            reason = F.when(F.col(f"u{j}") == 0, "no value to take").when(top > 0.5, clear).otherwise("no value leads")
         elif by_kind[c] == "datetime":
-            action, reason = F.lit("Forward Fill"), F.lit("Temporal data - use chronological fill")
+            action, reason = F.lit("Forward Fill"), F.lit("times follow the row before")
         sparse = pct > 80
         return F.struct(
             F.lit(c).alias("column"),

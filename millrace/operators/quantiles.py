@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import as_double, as_list, col
+from ..functions.skew import SALT, salted_join
 from ..session import materialize
 
 # A sketch of accuracy A places a quantile within 1/A of its true rank; the
@@ -51,10 +52,12 @@ def exact_quantiles(
         base = base.filter(F.col(n).isNotNull())
 
     joined = _with_brackets(base, names, len(columns), probs)
-    below = joined.groupBy(*names).agg(
+    below = joined.groupBy(*names, *([SALT] if names else [])).agg(
         *[F.max(f"_n{j}").alias(f"_n{j}") for j in range(len(columns))],
         *[F.count_if(F.col(f"_v{j}") < F.col(f"_lo{j}_{i}")).alias(f"_b{j}_{i}") for j, i in spots],
     )
+    if names:
+        below = below.groupBy(*names).agg(*[F.max(c).alias(c) if c.startswith("_n") else F.sum(c).alias(c) for c in below.columns if c[:2] in ("_n", "_b")])
     starts = _long(below, names, [_start(j, i, probs[i]) for j, i in spots]).filter(F.col("_h").isNotNull())
 
     counted = _inside(joined, names, spots)
@@ -113,10 +116,9 @@ def _with_brackets(base: DataFrame, names: list[str], width: int, probs: Sequenc
         ],
     )
     if names:
-        # Spark broadcasts the brackets when they are small and otherwise splits
-        # hot groups of the big side at run time.
+        # Spark broadcasts the brackets when they are small.
         kept = materialize(brackets, "brackets")
-        return base.join(kept, [F.col(n) == F.col("b" + n) for n in names])
+        return salted_join(base, kept, [(n, "b" + n) for n in names])
     kept = base.sparkSession.createDataFrame(brackets.collect(), brackets.schema)  # a single row
     return base.crossJoin(F.broadcast(kept))
 

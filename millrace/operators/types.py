@@ -76,10 +76,10 @@ def _suggestion(i: int, name: str) -> Column:
         F.when(is_number & (number_share <= SURE_SHARE), "Medium").when(is_mixed, "Medium").otherwise("High").alias("confidence"),
         F.when(is_date, date_share * 100).when(is_number, number_share * 100).when(is_category, distinct_share * 100).alias("match_pct"),
         F.when(is_date, fmt).alias("format"),
-        F.when(is_date, F.format_string("%.0f%% parseable as dates (format: %s)", date_share * 100, fmt))
-        .when(is_number, F.format_string("%.0f%% numeric values", number_share * 100))
-        .when(is_category, F.format_string("Only %d unique values (%.1f%%)", F.col(f"u{i}"), distinct_share * 100))
-        .when(is_mixed, "Mixed content (numbers and text)")
+        F.when(is_date, F.format_string("%.0f%% read as dates in the form %s", date_share * 100, fmt))
+        .when(is_number, F.format_string("%.0f%% read as numbers", number_share * 100))
+        .when(is_category, F.format_string("%d distinct values (%.1f%%)", F.col(f"u{i}"), distinct_share * 100))
+        .when(is_mixed, "numbers beside text")
         .alias("reason"),
     )
 

@@ -390,7 +390,7 @@ def describe_flagged(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, 6, "mean", "std", "q25", "q50", "q75")
 
 
-@query("SELECT 'warning' AS level, 'contamination' AS code, 'High contamination (0.40)' AS message FROM (SELECT COUNT(value) AS n FROM events) WHERE n >= 50")
+@query("SELECT 'warning' AS level, 'contamination' AS code, '0.40 of all values would be anomalies' AS message FROM (SELECT COUNT(value) AS n FROM events) WHERE n >= 50")
 def validate_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.validate_anomaly(table(spark, sf, "events"), "value", 0.4)
 
@@ -555,13 +555,13 @@ def suggest_drops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, p_size * 2 AS doubled, p_size + 1 AS shifted FROM part)
-    SELECT 'p_partkey' AS "column", FALSE AS selected, 'Likely ID column' AS reason FROM t HAVING COUNT(DISTINCT p_partkey) > 0.95 * COUNT(*)
-    UNION ALL SELECT 'p_name', FALSE, 'Text column (needs encoding first)' FROM t HAVING COUNT(DISTINCT p_name) > 20
-    UNION ALL SELECT 'p_brand', FALSE, 'Text column (needs encoding first)' FROM t HAVING COUNT(DISTINCT p_brand) > 20
+    SELECT 'p_partkey' AS "column", FALSE AS selected, 'looks like a key' AS reason FROM t HAVING COUNT(DISTINCT p_partkey) > 0.95 * COUNT(*)
+    UNION ALL SELECT 'p_name', FALSE, 'text that must be encoded first' FROM t HAVING COUNT(DISTINCT p_name) > 20
+    UNION ALL SELECT 'p_brand', FALSE, 'text that must be encoded first' FROM t HAVING COUNT(DISTINCT p_brand) > 20
     UNION ALL SELECT 'p_size', TRUE, NULL FROM t HAVING COUNT(DISTINCT p_size) > 1
     UNION ALL SELECT 'p_retailprice', TRUE, NULL FROM t HAVING COUNT(DISTINCT p_retailprice) > 1 AND ABS(CORR(p_size, p_retailprice)) <= 0.95
-    UNION ALL SELECT 'doubled', FALSE, 'High correlation with p_size' FROM t HAVING ABS(CORR(p_size, doubled)) > 0.95
-    UNION ALL SELECT 'shifted', FALSE, 'High correlation with p_size' FROM t HAVING ABS(CORR(p_size, shifted)) > 0.95"""
+    UNION ALL SELECT 'doubled', FALSE, 'follows p_size' FROM t HAVING ABS(CORR(p_size, doubled)) > 0.95
+    UNION ALL SELECT 'shifted', FALSE, 'follows p_size' FROM t HAVING ABS(CORR(p_size, shifted)) > 0.95"""
 )
 def select_features(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").selectExpr(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels
 from millrace.functions.moments import sample_skew
+from millrace.functions.skew import salted_join
 from millrace.operators import anomaly, chart, correlation, features, insights, outliers, profile
 from millrace.operators.pivot import pivot
 from millrace.operators.quantiles import exact_quantiles
@@ -188,7 +189,7 @@ def test_findings_and_selection(spark):
     assert drops == {("k", "Constant"), ("n", "Constant"), ("n", "High Missing"), ("d", "High Correlation")}
     picked = {r.column: r.reason for r in insights.select_features(df).collect()}
     assert picked["d"] is None and picked["s"] is None
-    assert picked["k"].startswith("Constant") and picked["i"].startswith("Likely ID") and picked["u"].startswith("Likely ID")
+    assert picked["k"].startswith("never") and picked["i"].startswith("looks like a key") and picked["u"].startswith("looks like a key")
 
 
 def test_chart_tables(sample):
@@ -216,3 +217,22 @@ def test_pivot_keeps_a_key_named_total_and_refuses_clashing_names(spark):
     clash = spark.createDataFrame([("r", "a_b", "c", 1.0), ("r", "a", "b_c", 2.0)], "k string, c string, d string, v double")
     with pytest.raises(ValueError, match="one name"):
         pivot(clash, "k", "v", ["c", "d"])
+
+
+def test_hot_groups_are_dealt_over_parts(spark):
+    """With a key of half the rows and nothing broadcast, no partition of the join holds more than a few parts of it."""
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000).selectExpr("IF(id % 2 = 0, 'hot', CAST(id % 50 AS STRING)) AS k", "CAST(id AS DOUBLE) AS v")
+        keys = rows.select("k").distinct().withColumnRenamed("k", "kk")
+        sizes = salted_join(rows, keys, [("k", "kk")]).withColumn("p", F.spark_partition_id()).groupBy("k", "_salt").agg(F.count("*").alias("n"), F.max("p").alias("p"))
+        hot = sizes.filter("k = 'hot'").toPandas()
+        assert len(hot) == 16 and hot["n"].max() <= 10_000 / 16 * 1.5 and hot["p"].nunique() > 1
+        box = {r.k: r for r in chart.box_stats(rows, "v", "k").collect()}
+        assert box["hot"]["count"] == 10_000 and box["hot"].median == 9_999.0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
