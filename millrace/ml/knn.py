@@ -2,9 +2,9 @@
 
 Train rows are split into cells of similar size by median cuts learned from a
 bounded sample. A query first searches its own cell; the distance of the k-th hit
-bounds which other cells can hold anything closer, and only those are searched.
-Each search of a cell is one bounded task that returns k rows per query. Equal
-train points keep their k smallest keys and equal queries are answered once, so
+bounds which other cells can hold anything closer, and only those are searched. A
+search compares a bounded block of a cell with a bounded share of its queries and
+returns k rows per query. Equal train points keep their k smallest keys and equal queries are answered once, so
 points repeated any number of times add no work.
 """
 
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Cells, as_matrix, distance_blocks, nearest_in_rows
 from ..functions.kinds import as_double, as_list, col, require_numeric
+from ..session import materialize
 
 CELL_ROWS = 2_000
 SAMPLE_PER_CELL = 32
-MAX_CELLS = 4096
+MAX_CELLS = 4096  # beyond it cells fill up and are searched in blocks
+BLOCK_ROWS = 10_000
 
 
 # -- search -----------------------------------------------------------------
@@ -37,16 +39,26 @@ def _shares(cells: DataFrame) -> DataFrame:
 
 
 def _paired(queries: DataFrame, points: DataFrame):
-    """Both sides grouped by (cell, task); points are repeated once per task."""
-    tasks = F.broadcast(_shares(queries))  # at most MAX_CELLS rows
-    share = F.pmod(F.xxhash64("_x"), F.col("_tasks")).cast("int")
-    left = queries.join(tasks, "_cell").withColumn("_task", share).drop("_tasks")
-    right = points.join(tasks, "_cell").withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
-    return left.groupBy("_cell", "_task").cogroup(right.groupBy("_cell", "_task"))
+    """Both sides grouped by (cell, task, block).
+
+    A cell's queries are dealt over tasks and its points over blocks, each side being
+    repeated for the other's parts, so a group is bounded however full a cell is.
+    """
+    blocks = points.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+    grid = F.broadcast(_shares(queries).join(blocks, "_cell"))  # at most MAX_CELLS rows
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = queries.join(grid, "_cell").withColumn("_task", F.pmod(F.xxhash64("_x"), F.col("_tasks")).cast("int")).withColumn("_block", every("_blocks"))
+    right = points.join(grid, "_cell").withColumn("_block", F.pmod(F.xxhash64("_tk"), F.col("_blocks")).cast("int")).withColumn("_task", every("_tasks"))
+    keys = ("_cell", "_task", "_block")
+    return left.drop("_tasks", "_blocks").groupBy(*keys).cogroup(right.drop("_tasks", "_blocks").groupBy(*keys))
 
 
 def _nearest_points(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(_x, _d, _tk, _y): the k nearest points of every distinct query."""
+    points = materialize(points, "knn-points")
     size = points.count()
     if size == 0:
         raise ValueError("no train rows")
@@ -85,7 +97,7 @@ def _nearest_points(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         bounded = _paired(homed, placed).applyInPandas(radius, "_x array<double>, _r double")
         # A home cell without points bounds nothing: such queries search every cell.
         empty = homed.join(F.broadcast(placed.select("_cell").distinct()), "_cell", "left_anti")
-        bounded = bounded.unionByName(empty.select("_x", F.lit(float("inf")).alias("_r"))).dropDuplicates(["_x"])
+        bounded = bounded.unionByName(empty.select("_x", F.lit(float("inf")).alias("_r"))).groupBy("_x").agg(F.min("_r").alias("_r"))
         targets = bounded.select("_x", F.explode(cells_within("_x", "_r")).alias("_cell"))
 
     key_type = points.schema["_tk"].dataType.simpleString()

@@ -82,6 +82,7 @@ def test_tuning_and_stacking(table):
 @pytest.mark.parametrize("cell_rows", [10_000, 40])
 def test_knn_equals_brute_force(spark, monkeypatch, cell_rows):
     monkeypatch.setattr(knn, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 7 if cell_rows < 1000 else 10_000)
     rng = np.random.default_rng(9)
     train = pd.DataFrame({"i": range(500), "a": rng.integers(0, 30, 500) * 1.0, "b": rng.normal(size=500).round(1), "t": rng.choice(list("xyz"), 500)})
     train.loc[:160, ["a", "b"]] = 3.0  # a third of the train rows are one point
