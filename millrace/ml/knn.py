@@ -80,7 +80,7 @@ def _nearest_points(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def radius(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
             if qs.empty:
-                return pd.DataFrame({"_x": [], "_r": []})
+                return pd.DataFrame({"_x": [], "_r": []}, dtype=object)
             reach = np.full(len(qs), np.inf)
             if len(ps) >= k:
                 for start, d in distance_blocks(as_matrix(qs["_x"]), as_matrix(ps["_x"])):
@@ -105,7 +105,7 @@ def _nearest_points(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def search(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ps.empty:
-            return pd.DataFrame({"_x": [], "_d": [], "_tk": [], "_y": []})
+            return pd.DataFrame({"_x": [], "_d": [], "_tk": [], "_y": []}, dtype=object)
         ps = ps.sort_values("_tk", kind="stable").reset_index(drop=True)
         xs, out = as_matrix(qs["_x"]), []
         for start, d in distance_blocks(xs, as_matrix(ps["_x"])):
