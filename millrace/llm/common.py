@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from millrace.session import fresh_path
 
@@ -67,6 +68,35 @@ def ordinal_within(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("__start") + F.col("__in")).drop("__start", "__in", "__p", *[f"__k{i}" for i in range(len(keys))])
 
 
+def possible(df: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """Rows whose ``key`` may be in ``ids`` (its only column), by a broadcast bitmap of hashes.
+
+    Put before a join, it spares the shuffle of rows that cannot match. The bitmap has
+    16 bits an id and ``most_bits`` (16 MB) at most; beyond that more rows pass, and the
+    join still decides.
+    """
+    bits = 1 << 15
+    n = ids.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+
+    def place(c: Column | str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    at = ids.select(place(ids.columns[0]).alias("at")).withColumn("bucket", F.floor(F.col("at") / (1 << 15)))
+    maps = at.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("map")).collect()  # 4 kB each, bits / 2^15 of them
+    whole = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in maps:
+        whole[row.bucket] = np.frombuffer(bytes(row.map), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    def known(values: pa.Array) -> pa.Array:
+        x = values.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((shared.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return df.filter(F.arrow_udf(known, BooleanType())(F.coalesce(place(key), F.lit(0))))
+
+
 def plain(c: Column | str) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

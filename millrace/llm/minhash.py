@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from .common import SPACED, Scratch, mix, pieces, ranges_hash, with_columns, words
+from .common import SPACED, Scratch, mix, pieces, possible, ranges_hash, with_columns, words
 from .components import components
 
 SHINGLE = 5
@@ -114,13 +114,14 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     """Of candidate pairs (a, b), those with 100 * intersection >= percent * union, on full sets."""
     j, least = percent / 100, 8
     floor = BINS * j - least * (BINS * j * (1 - j)) ** 0.5
-    brief = nodes.select("node", "n_shingles", "sketch")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    brief = possible(nodes.select("node", "n_shingles", "sketch"), "node", ends)
     known = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b")
     known = known.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = (F.least("n_a", "n_b") < SMALL) | (_agreeing("sketch_a", "sketch_b") >= floor)
     known = scratch.store(known.withColumn("likely", likely).filter("likely").select("a", "b"), "minhash-pairs")
-    wanted = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = possible(docs, "doc_id", ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
     texts = scratch.store(texts.select("doc_id", "text"), "minhash-texts")
 
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -219,8 +220,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = scratch.store(_confirmed(more, nodes, docs, percent, scratch), "minhash-links")
         if found.isEmpty():
             break
-        links, tested = links.unionByName(found), tested.unionByName(more)
-        joined, crowded = components(links), at.select("bucket", "node")
+        tested, crowded = tested.unionByName(more), at.select("bucket", "node")
+        joined = components(joined.toDF("a", "b").unionByName(found))
     of_group = groups.join(joined, "node", "left").select(*[F.col(c).alias(f"__{c}") for c in same], F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_group, (F.col("n_shingles") == F.col("__n_shingles")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
