@@ -97,11 +97,6 @@ def possible(df: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 27)
     return df.filter(F.arrow_udf(known, BooleanType())(F.coalesce(place(key), F.lit(0))))
 
 
-def plain(c: Column | str) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 # -- text as arrays ---------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
