@@ -110,17 +110,21 @@ def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((left == right).sum(axis=1), pa.int32())
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a, b), those with 100 * intersection >= percent * union, on full sets."""
     j, least = percent / 100, 8
     floor = BINS * j - least * (BINS * j * (1 - j)) ** 0.5
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = _ends(pairs)
     brief = possible(nodes.select("node", "n_shingles", "sketch"), "node", ends)
     known = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b")
     known = known.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = (F.least("n_a", "n_b") < SMALL) | (_agreeing("sketch_a", "sketch_b") >= floor)
     known = scratch.store(known.withColumn("likely", likely).filter("likely").select("a", "b"), "minhash-pairs")
-    ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = _ends(known)
     texts = possible(docs, "doc_id", ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
     texts = scratch.store(texts.select("doc_id", "text"), "minhash-texts")
 
