@@ -16,8 +16,8 @@ partners are confirmed too, until a round links nothing more.
 Scale: documents with equal sets are one node, so copies meet once. Buckets, pairs and
 links are joined on their keys with aggregates combined on the map side; a bucket that
 holds a third of all nodes is only ever joined, which adaptive execution splits, or cut
-into a grid. A pair meets by its texts, which are smaller than their sets, and only if
-the signatures leave it a chance.
+into a grid. Pairs that the signatures leave a chance meet by their texts, which are
+smaller than their sets, in a second grid: a text is sent once to a cell, not once a pair.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; with fewer than five words the whole sequence is the one shingle; rows
@@ -27,14 +27,14 @@ its group has no other; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from .common import SPACED, Scratch, mix, pieces, possible, ranges_hash, with_columns, words
 from .components import components
@@ -42,8 +42,9 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
-NEAREST = 4
+NEAREST = 4  # partners of a member in the first round of the rescue
 GRID = 4096
+CELL = 256  # texts a side of the cells that confirm pairs
 SMALL = 64  # sets below this size skip the comparison of signatures
 _TRIES = np.random.default_rng(11).integers(0, BINS, (4096, BINS))
 _LANES = np.random.default_rng(12).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,42 +111,79 @@ def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((left == right).sum(axis=1), pa.int32())
 
 
+def _floor(percent: int, least: float = 8) -> float:
+    """The bins in which two large sets at the threshold agree, less ``least`` standard deviations."""
+    j = percent / 100
+    return BINS * j - least * (BINS * j * (1 - j)) ** 0.5
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a, b), those with 100 * intersection >= percent * union, on full sets."""
-    j, least = percent / 100, 8
-    floor = BINS * j - least * (BINS * j * (1 - j)) ** 0.5
     ends = _ends(pairs)
     brief = possible(nodes.select("node", "n_shingles", "sketch"), "node", ends)
     known = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b")
     known = known.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = (F.least("n_a", "n_b") < SMALL) | (_agreeing("sketch_a", "sketch_b") >= floor)
+    likely = (F.least("n_a", "n_b") < SMALL) | (_agreeing("sketch_a", "sketch_b") >= _floor(percent))
     known = scratch.store(known.withColumn("likely", likely).filter("likely").select("a", "b"), "minhash-pairs")
     ends = _ends(known)
     texts = possible(docs, "doc_id", ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
     texts = scratch.store(texts.select("doc_id", "text"), "minhash-texts")
 
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for lo, hi in pieces(a):  # the sets, and so the texts, of a pair are of a size
-            for x, y in zip(shingle_sets(a[lo:hi]), shingle_sets(b[lo:hi]), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+    blocks = max(1, -(-ends.count() // CELL))
+    kind = nodes.schema["node"].dataType.simpleString()
+    at = known.select(*[F.pmod(F.xxhash64(x), F.lit(blocks)).alias(f"cell_{x}") for x in ("a", "b")], "a", "b")
+    asks = at.groupBy("cell_a", "cell_b", F.col("a").alias("node")).agg(F.collect_list("b").alias("others"))  # about CELL at most
+    told = at.select("cell_a", "cell_b", F.col("b").alias("node")).distinct().withColumn("others", F.lit(None).cast(f"array<{kind}>"))
+    met = asks.unionByName(told).join(texts, F.col("node") == F.col("doc_id")).select("cell_a", "cell_b", "node", "others", "text")
+
+    def linked(cell: pd.DataFrame) -> pd.DataFrame:
+        out, sets = [], {}
+        texts = pa.array(cell["text"], pa.large_string())
+        for lo, hi in pieces(texts):
+            sets |= zip(cell["node"].iloc[lo:hi], shingle_sets(texts[lo:hi]), strict=True)
+        for a, others in zip(cell["node"], cell["others"], strict=True):
+            if others is not None:
+                own, sizes = sets[a], np.array([len(sets[b]) for b in others])
+                there = np.concatenate([sets[b] for b in others])
+                hit = own[np.minimum(np.searchsorted(own, there), len(own) - 1)] == there
+                both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                out += [(a, b) for b, ok in zip(others, 100 * both >= percent * (len(own) + sizes - both), strict=True) if ok]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return _by_cell(met, ["cell_a", "cell_b"], linked, f"a {kind}, b {kind}")
+
+
+def _by_cell(rows: DataFrame, cells: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the rows of each cell, with one cell and one Arrow batch in memory."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cell = held.groupby(cells, sort=False).ngroup()
+            open_ = cell == cell.iloc[-1] if len(cell) else cell
+            made = [work(g) for _, g in held[~open_].groupby(cells, sort=False)]
+            held = held[open_]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if held is not None and len(held):
+            yield work(held)
 
-    both = known.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.withColumn("linked", F.arrow_udf(linked, BooleanType())("text_a", "text_b")).filter("linked").select("a", "b")
+    return rows.repartition(*cells).sortWithinPartitions(*cells).mapInPandas(stream, schema)
 
 
-def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, nearest: int, scratch: Scratch) -> DataFrame:
     """Candidates for the members of a bucket outside its largest component.
 
-    Each meets the members of other components by signature and keeps the ``NEAREST``
-    likeliest. A bucket is cut into a grid of at most ``GRID`` by ``GRID`` members.
+    Each meets the members of other components by signature, leaves out those that sizes
+    and signatures rule out, and keeps the ``nearest`` likeliest; ``cut`` tells of a member
+    that has more. A bucket is cut into a grid of about ``GRID`` by ``GRID`` members.
     """
+    floor = _floor(percent)
     sizes = crowded.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     main = main.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("n") / GRID).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / GRID).alias("rounds"))
@@ -159,7 +197,7 @@ def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch
     told = ["node", "component", "n_shingles", "sketch", "asks"]
     members = rows.withColumn("block", F.pmod(seat, F.col("blocks"))).withColumn("round", every("rounds")).withColumn("asks", F.lit(False))
     asking = rows.filter("component <> main").withColumn("round", F.pmod(seat, F.col("rounds"))).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
-    met = members.select(*cells, *told).unionByName(asking.select(*cells, *told)).repartition(*cells).sortWithinPartitions(*cells)
+    met = members.select(*cells, *told).unionByName(asking.select(*cells, *told))
 
     def pairs(cell: pd.DataFrame) -> pd.DataFrame:
         ask, all_ = cell[cell["asks"]], cell[~cell["asks"]]
@@ -170,27 +208,15 @@ def _rescue(crowded: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch
             for a in ask.itertuples():
                 agree = (sketches == np.frombuffer(a.sketch, np.uint8)).sum(axis=1)
                 fits = 100 * np.minimum(sizes, a.n_shingles) >= percent * np.maximum(sizes, a.n_shingles)
-                agree[(components_ == a.component) | ~fits] = -1
-                for k in np.argsort(-agree, kind="stable")[:NEAREST]:
-                    if agree[k] >= 0:
-                        out.append((min(a.node, ids[k]), max(a.node, ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cell = held.groupby(cells, sort=False).ngroup()
-            open_ = cell == cell.iloc[-1] if len(cell) else cell
-            made = [pairs(g) for _, g in held[~open_].groupby(cells, sort=False)]
-            held = held[open_]
-            if made:
-                yield pd.concat(made, ignore_index=True)
-        if held is not None and len(held):
-            yield pairs(held)
+                fits &= (np.minimum(sizes, a.n_shingles) < SMALL) | (agree >= floor)
+                left = np.flatnonzero(fits & (components_ != a.component))
+                cut = len(left) > nearest
+                for k in left[np.argsort(-agree[left], kind="stable")[:nearest]]:
+                    out.append((min(a.node, ids[k]), max(a.node, ids[k]), cut))
+        return pd.DataFrame(out, columns=["a", "b", "cut"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return scratch.store(met.mapInPandas(stream, f"a {kind}, b {kind}").distinct(), "minhash-rescue")
+    return scratch.store(_by_cell(met, cells, pairs, f"a {kind}, b {kind}, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")), "minhash-rescue")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -215,17 +241,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = scratch.store(_confirmed(tested, nodes, docs, percent, scratch), "minhash-links")
     joined = components(links)
     crowded = members.filter("crowded").select("bucket", "node")
-    while True:
+    nearest, cut = NEAREST, True
+    while cut:
         at = crowded.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         at = scratch.store(at.join(open_, "bucket", "left_semi"), "minhash-open")
-        more = _rescue(at, nodes, percent, scratch).join(tested, ["a", "b"], "left_anti")
-        more = scratch.store(more, "minhash-more")
+        met = _rescue(at, nodes, percent, nearest, scratch)
+        cut = not met.filter("cut").isEmpty()
+        more = scratch.store(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "minhash-more")
         found = scratch.store(_confirmed(more, nodes, docs, percent, scratch), "minhash-links")
-        if found.isEmpty():
-            break
-        tested, crowded = tested.unionByName(more), at.select("bucket", "node")
-        joined = components(joined.toDF("a", "b").unionByName(found))
+        if not found.isEmpty():
+            joined = components(joined.toDF("a", "b").unionByName(found))
+        tested, crowded, nearest = tested.unionByName(more), at.select("bucket", "node"), 4 * nearest
     of_group = groups.join(joined, "node", "left").select(*[F.col(c).alias(f"__{c}") for c in same], F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_group, (F.col("n_shingles") == F.col("__n_shingles")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

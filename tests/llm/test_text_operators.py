@@ -4,6 +4,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,26 @@ def test_near_duplicates_equal_brute_force(spark, awkward):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(awkward)
 
 
+def test_near_duplicates_of_a_family_around_the_threshold(spark):
+    r = random.Random(1)
+    base, rows = [f"w{k}" for k in range(600)], []
+    for i in range(1200):  # each member has its own 12 or so of 40 edits
+        edits = {6 * e + 2: f"e{e}" for e in range(40) if r.random() < 0.3}
+        rows.append((i, " ".join(edits.get(k, w) for k, w in enumerate(base))))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    place = {g: k for k, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[g] for g in s]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    linked = 100 * both >= 85 * (n[:, None] + n - both)
+    want = np.arange(len(rows))
+    while (want != (new := np.where(linked, want, len(rows)).min(axis=1))).any():
+        want = new
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_near_duplicates_empty_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(9, "a b c d e f"), (9, "a b c d e f"), (None, "a b c d e f"), (None, "z y x w v"), (4, "A b C d e f")]
