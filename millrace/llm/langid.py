@@ -12,11 +12,13 @@ the address, and the language habits of the host.
    domain's, which are smoothed towards the corpus's. Prior, text, declaration and
    suffix are multiplied.
 
-Scale: the model holds ``GRAMS`` numbers a language; declarations and suffixes are
+Scale: the model holds ``GRAMS`` numbers a language, and every label is a language. Up
+to ``LANGUAGES`` of them are in memory at a time; more take a further pass over the
+pages each, which are written again with what was found so far. Declarations and suffixes are
 cut to short codes and their table joins like any other. Hosts are aggregated with
 map-side sums over a few numbers per page and joined back without being grouped, so a
 host with a third of all pages is split by adaptive execution. Page texts are read
-once and never shuffled.
+once for every ``LANGUAGES`` languages and never shuffled.
 
 Cases: null or empty html has no text evidence, and the rest decides; a null or odd
 address has an empty host, domain and suffix, which stands for all such pages; pages without any
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import _BYTE, _LOWER, Scratch, mix, text_bytes, with_columns
 
 GRAMS = 1 << 16
-LANGUAGES = 64
+LANGUAGES = 64  # in one block of the model
 WEIGHT = 0.2  # trigrams overlap and repeat, so their evidence counts in part
 STRENGTH = 4.0  # pages that the wider level is worth
 _DROPPED = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
@@ -69,36 +71,38 @@ def visible(page: str) -> str:
     return html.unescape(_TAG.sub(" ", _DROPPED.sub(" ", page)))
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probabilities of trigrams per language, and log-shares of languages.
-
-    The ``LANGUAGES`` most frequent labels are told apart.
-    """
+def train(docs: DataFrame, scratch: Scratch, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray, DataFrame]:
+    """Languages, log-shares of languages, and counts of trigrams per language (lang, g, n)."""
     labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    common = [(r.lang, r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    names = sorted(x for x, _ in common)
-    table = np.full((GRAMS, len(names)), 0.5)
-    counted = with_columns(labelled.filter(F.col("lang").isin(names)), "text", "g array<int>, n array<bigint>", _counted).drop("text")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
+    counted = with_columns(labelled, "text", "g array<int>, n array<bigint>", _counted).drop("text")
     sums = counted.select("lang", F.explode(F.arrays_zip("g", "n")).alias("x")).groupBy("lang", "x.g").agg(F.sum("x.n").alias("n"))
-    for row in sums.toLocalIterator(prefetchPartitions=True):  # at most GRAMS rows a language
-        table[row.g, names.index(row.lang)] += row.n
-    shares = np.array([dict(common)[x] for x in names], float)
-    return names, np.log(table / table.sum(axis=0)), np.log(shares / max(shares.sum(), 1.0))
+    shares = np.array([sizes[x] for x in names], float)
+    return names, np.log(shares / max(shares.sum(), 1.0)), scratch.store(sums, "langid-grams")
+
+
+def block(sums: DataFrame, names: list[str]) -> np.ndarray:
+    """Log-probabilities of trigrams, a column per language."""
+    table, place = np.full((GRAMS, len(names)), 0.5), {x: k for k, x in enumerate(names)}
+    for row in sums.filter(F.col("lang").isin(names)).toLocalIterator(prefetchPartitions=True):  # at most GRAMS rows a language
+        table[row.g, place[row.lang]] += row.n
+    return np.log(table / table.sum(axis=0))
 
 
-def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], page_html: str = "html") -> DataFrame:
-    """Add ``declared`` and ``loglik``, the text's log-likelihood per language."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def evidence(pages: DataFrame, table: np.ndarray, page_html: str = "html") -> DataFrame:
+    """Add ``declared`` and ``more``, the text's log-likelihood per language of a block."""
+    shared = pages.sparkSession.sparkContext.broadcast(table)
 
     def work(values: pa.Array) -> list[pa.Array]:
-        names, table, _ = shared.value
+        table = shared.value
         raw = [x or "" for x in values.to_pylist()]
         declared = [m.group(1).lower() if (m := _DECLARED.search(x)) else None for x in raw]
         ids, owner = grams(pa.array([visible(x) for x in raw], pa.large_string()))
-        sums = [np.bincount(owner, table[ids, k], len(raw)) for k in range(len(names))]
+        sums = [np.bincount(owner, table[ids, k], len(raw)) for k in range(table.shape[1])]
         return [pa.array(declared, pa.string()), pa.array(list(WEIGHT * np.column_stack(sums)), pa.list_(pa.float64()))]
 
-    return with_columns(pages, page_html, "declared string, loglik array<double>", work)
+    return with_columns(pages, page_html, "declared string, more array<double>", work)
 
 
 def _softmax(logs: Column) -> Column:
@@ -109,14 +113,18 @@ def _softmax(logs: Column) -> Column:
 def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: str = "url", page_html: str = "html") -> DataFrame:
     """page_id, host, suffix, declared, language, probability."""
     spark = pages.sparkSession
-    model = train(docs)
-    names, _, shares = model
+    learned, scratch = Scratch(spark), Scratch(spark)
+    names, shares, sums = train(docs, learned)
     ids = dict(pages.select(F.col(page_id).alias("page_id")).dtypes)["page_id"]
     if not names:
         return spark.createDataFrame([], f"page_id {ids}, host string, suffix string, declared string, language string, probability double")
-    scratch = Scratch(spark)
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    found = evidence(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), F.col(page_html).alias("html")), model, "html").drop("html")
+    found = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), F.col(page_html).alias("html"), F.array().cast("array<double>").alias("loglik"))
+    for lo in range(0, len(names), LANGUAGES):
+        found = found if not lo else scratch.store(found, "langid-pages")
+        scratch.free(keep=1)
+        found = evidence(found, block(sums, names[lo : lo + LANGUAGES])).withColumn("loglik", F.concat("loglik", "more")).drop("more")
+    found = found.drop("html")
     found = found.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
     found = found.withColumn("text_only", _softmax(F.transform("loglik", lambda x, i: x + F.array(*map(F.lit, shares.tolist()))[i])))
     found = scratch.store(found, "langid-evidence")

@@ -98,6 +98,14 @@ def test_language_weighs_all_evidence(spark):
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), docs).count() == 0
 
 
+def test_every_label_is_a_language(spark):
+    words = {f"l{k:02}": " ".join(chr(97 + k % 26) + chr(97 + (k // 26 + 3 * j) % 26) + chr(97 + (k + 7 * j) % 26) for j in range(12)) for k in range(2 * langid.LANGUAGES + 6)}
+    docs = spark.createDataFrame([(t, x) for x, t in words.items()], "text string, lang string")
+    pages = spark.createDataFrame([(k, None, f"<p>{t} {t}</p>") for k, t in enumerate(words.values())], "page_id long, url string, html string")
+    got = {r.page_id: r.language for r in langid.identify(pages, docs).collect()}
+    assert got == dict(enumerate(words))
+
+
 def test_op5_finds_the_languages_of_addresses(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("want", F.regexp_extract("url", "/(en|de|fr|es)/", 1))
     rows = QUERIES["op5_language"](spark, sf_dir).join(pages, "page_id").filter("want <> ''")
