@@ -34,6 +34,19 @@ def test_neighbours_find_nine_in_ten(spark, sf_dir):
     assert hit >= 0.9 * len(got)
 
 
+def test_neighbours_find_nine_in_ten_beyond_the_sample(spark):
+    x = np.random.default_rng(0).normal(size=(24_000, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # Beyond 16,384 drawn rows the forest has 512 leaves instead of 256.
+    got = neighbours.neighbours(vectors, F.col("vec_id") % 200 == 0, sample=16_800).toPandas()
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q, own in got.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len(set(np.argsort(-score)[:5]) & set(own["vec_id"]))
+    assert len(got) == 600 and hit >= 0.94 * len(got)
+
+
 def test_neighbours_on_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (50, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (8, [0.0, 1.0], 1), (None, [1.0, 1.0], 1), (9, [1.0], 1), (100, [float("inf"), 1.0], 1)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
