@@ -148,7 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id
     share = min(1.0, fit_rows / n) if n else 0.0
     if share < 1:
         own = own.filter(F.col("__h") < int(-(2**63) + share * (2**64 - 2)))
-    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(own), "__id")  # at most about fit_rows rows
+    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(own), "__id")
+    ys = [f"y{k}" for k in range(len(names))]
+    one = F.min(F.struct(F.xxhash64("text"), "text")).getField("text")
+    joined = joined.groupBy("__id", "__h", *ys).agg(one.alias("text"))  # one row a doc_id, so at most about fit_rows rows
     sample = scratch.store(with_columns(joined, "text", "tokens array<int>", _features).drop("text"), "toxicity-sample")
     flat = sample.select(*[f"y{k}" for k in range(len(names))], F.explode("tokens").alias("t")).withColumn("again", F.col("t") % 2).withColumn("token", F.floor(F.col("t") / 2))
     sums, scores = [F.count("*").alias("n"), F.sum("again").alias("n_again")], []

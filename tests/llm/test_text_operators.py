@@ -158,6 +158,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert r.hit >= 0.85 * r.all and r.wrong <= 0.01 * r.clean
 
 
+def test_a_repeated_document_counts_once_in_the_fit(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["bad", "foul", "x"] if i % 3 == 0 else ["good", "nice", "x"]) + str(r.randrange(3)) for _ in range(12))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    once, often = (toxicity.train(frame(spark, d), labels, {"toxic": "toxic"}) for d in (rows, rows + [rows[0]] * 500))
+    assert once.chosen.tolist() == often.chosen.tolist() and len(once.chosen)
+    assert np.allclose(once.models[0].token, often.models[0].token) and np.isclose(once.models[0].bias, often.models[0].bias)
+
+
 def test_toxicity_without_usable_labels(spark):
     docs = frame(spark, [(1, "some words here"), (2, None), (3, ""), (3, "")])
     for rows in ([], [(None, 1, 1)], [(1, None, 0), (2, 1, 0)], [(1, 1, None)]):
