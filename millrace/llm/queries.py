@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, minhash, mixing, neighbours, repeats, sharding, tokens, toxicity
+from . import bpe, chat, decontaminate, langid, minhash, mixing, neighbours, repeats, sharding, tokens, toxicity
 from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,16 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "p_poor", "p_toxic", F.col("rejected").alias("toxic"))
+
+
+@query()
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = vocabulary("word_bpe_49k.json")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    read = bpe.decode(coded, path, text="decoded")
+    return read.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
