@@ -31,7 +31,8 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,8 +45,11 @@ from .common import with_columns
 
 SLICE = 1 << 16  # characters of a text worked on at a time
 WINDOW = 2048  # symbols of a run merged at a time, besides the lookahead
-CACHED = 1 << 17  # runs kept with their tokens
-SHORT = 64  # characters of a run that may be kept
+CACHED = 1 << 19  # short texts kept with their tokens
+SHORT = 64  # characters of a run or a word that may be kept
+FEW = 32  # symbols of a run that is merged without a queue
+ROOM = 1 << 24  # ids, in a number that holds a rule's rank and its product
+LATEST = 1 << 60
 IDS = 1 << 16  # ids decoded at a time
 
 # Code points that the library's patterns and lower-casing know and those of Unicode 15.1 lack.
@@ -68,11 +72,11 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
-def _ranges(kind: str) -> str:
-    """A character class's inside: the code points whose category begins with ``kind``."""
+def _ranges(kind: str, end: int = 0x110000) -> str:
+    """A character class's inside: the code points below ``end`` whose category begins with ``kind``."""
     out, start = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -89,11 +93,13 @@ class Scanner:
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         short = "|".join(CONTRACTIONS)
         self.runs = re.compile(f"{short}|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+")
+        low_letters, low_digits = _ranges("L", 0x800), _ranges("N", 0x800)  # short classes, for most texts
+        self.low_runs = re.compile(f"{short}|[{low_letters}]+|[{low_digits}]|[^{space}{low_letters}{low_digits}]+")
         self.plain = re.compile(rf"{short}|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
         self.letter, self.other = re.compile(f"[{letters}]"), re.compile(f"[^{space}{letters}{digits}]")
+        self.digit = re.compile(f"[{digits}]")
         self.letters, self.others = re.compile(f"[{letters}]*"), re.compile(f"[^{space}{letters}{digits}]*")
-        self.late = re.compile(f"([{LATE_MARKS}])")
-        self.raised = re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+        self.late, self.high = re.compile(f"([{LATE_MARKS}])"), re.compile("[\u07fd-\U0010ffff]")
         # What follows a character and never joins it: a starter that is no second part of a composition.
         second = {unicodedata.decomposition(chr(c)).split()[1] for c in range(0x110000) if unicodedata.decomposition(chr(c)).count(" ") == 1 and "<" not in unicodedata.decomposition(chr(c))}
         self.joined = {chr(int(c, 16)) for c in second} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
@@ -128,9 +134,17 @@ class Scanner:
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        text = "".join([unicodedata.normalize("NFC", part) for part in self.late.split(text)])
-        text = self.raised.sub(lambda m: chr(NEW_LOWER[ord(m[0])]), text)
-        return text.replace("Σ", "σ").lower()  # a sigma's form does not depend on its place
+        if self.high.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in self.late.split(text)]).translate(NEW_LOWER)
+        else:
+            text = unicodedata.normalize("NFC", text)
+        return text.replace("\u03a3", "\u03c3").lower()  # a sigma's form does not depend on its place
+
+    def cut(self, text: str) -> list[str]:
+        """The runs of a text in normal form."""
+        if text.isascii():
+            return self.plain.findall(text)
+        return (self.runs if self.high.search(text) else self.low_runs).findall(text)
 
 
 class Vocabulary:
@@ -153,31 +167,42 @@ class Vocabulary:
         self.inner = [ids.get(c) for c in letters]
         self.last = [ids.get(c + self.end) for c in letters]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rules = {(ids[u], ids[v]): (rank, ids[u + v]) for rank, (u, v) in enumerate(merges)}
+        self.rules = {(ids[u], ids[v]): rank * ROOM + ids[u + v] for rank, (u, v) in enumerate(merges, 1)}
         self.lookahead = lookahead(merges, {*letters, *(c + self.end for c in letters)}, self.end)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the rules in their order, each from left to right: the tokens of a run."""
-        n, rules = len(symbols), self.rules
+        n, rule = len(symbols), self.rules.get
+        if n <= FEW:
+            found = [rule(pair, LATEST) for pair in zip(symbols, symbols[1:])]
+            symbols = [*symbols]
+            while found and (best := min(found)) != LATEST:
+                i = found.index(best)
+                symbols[i] = best & (ROOM - 1)
+                del symbols[i + 1], found[i]
+                if i < len(found):
+                    found[i] = rule((symbols[i], symbols[i + 1]), LATEST)
+                if i:
+                    found[i - 1] = rule((symbols[i - 1], symbols[i]), LATEST)
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(rules[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rules]
+        queue = [(found, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (found := rule(p))]
         heapq.heapify(queue)
         symbols = [*symbols]
         while queue:
-            rank, i = heapq.heappop(queue)
+            found, i = heapq.heappop(queue)
             j = after[i]
-            found = rules.get((symbols[i], symbols[j])) if j < n and symbols[i] is not None else None
-            if found is None or found[0] != rank:
+            if j >= n or symbols[i] is None or rule((symbols[i], symbols[j])) != found:
                 continue
-            symbols[i], symbols[j] = found[1], None
+            symbols[i], symbols[j] = found & (ROOM - 1), None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if pair := rules.get((symbols[i], symbols[k])):
-                    heapq.heappush(queue, (pair[0], i))
+                if next_ := rule((symbols[i], symbols[k])):
+                    heapq.heappush(queue, (next_, i))
             h = before[i]
-            if h >= 0 and (pair := rules.get((symbols[h], symbols[i]))):
-                heapq.heappush(queue, (pair[0], h))
+            if h >= 0 and (next_ := rule((symbols[h], symbols[i]))):
+                heapq.heappush(queue, (next_, h))
         return [s for s in symbols if s is not None]
 
 
@@ -241,23 +266,42 @@ class Transducer:
         return out
 
 
-class Encoder(dict):
-    """Token ids of texts; as a mapping, the packed ids of short runs, kept while there is room."""
+class Kept(dict):
+    """What a function made of short texts; of the older half, only what is asked for again stays."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= SHORT:
+            if len(self) >= CACHED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+class Encoder:
+    """Token ids of texts; runs, and parts between blanks, that came before are looked up."""
 
     def __init__(self, vocabulary: Vocabulary, window: int = WINDOW) -> None:
         if not vocabulary.words:
             raise ValueError("the vocabulary file asks for another normal form or other runs")
         self.vocabulary, self.window, self.scanner = vocabulary, window, Scanner()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.run = Kept(self._run).__getitem__
+        self.part = Kept(lambda text: b"".join(map(self.run, self.scanner.cut(text)))).__getitem__
 
-    def __missing__(self, run: str) -> bytes:
-        work = Transducer(self.vocabulary, self.window)
-        found = np.array(work.feed(run) + work.finish(), np.int32).tobytes()
-        if len(run) <= SHORT:
-            if len(self) >= CACHED:
-                self.clear()
-            self[run] = found
-        return found
+    def _run(self, run: str) -> bytes:
+        """Packed ids of a whole run."""
+        if len(run) > self.window // 4:
+            work = Transducer(self.vocabulary, self.window)
+            return np.array(work.feed(run) + work.finish(), np.int32).tobytes()
+        data, inner = run.encode(), self.vocabulary.inner  # all of it in one window
+        return array("i", self.vocabulary.merge([*[inner[b] for b in data[:-1]], self.vocabulary.last[data[-1]]])).tobytes()
 
     def _stretch(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text without special strings; a run that a slice cuts goes on in the next."""
@@ -272,13 +316,17 @@ class Encoder(dict):
                     continue
                 yield np.array(open_.finish(), np.int32).tobytes()
                 part, open_ = part[len(more) :], None
-            runs = (scanner.plain if part.isascii() else scanner.runs).findall(part)
-            last = runs[-1] if runs and not whole and part.endswith(runs[-1]) and runs[-1] not in CONTRACTIONS else ""
-            if last and (scanner.letter.match(last) or scanner.other.match(last)):
-                runs.pop()
+            *parts, last = part.replace("\n", " ").split(" ")
+            yield b"".join(map(self.part, parts))
+            if whole or not last:
+                yield self.part(last)
+                continue
+            runs = scanner.cut(last)
+            goes = bool(runs) and last.endswith(runs[-1]) and runs[-1] not in CONTRACTIONS and not scanner.digit.match(runs[-1])
+            last = runs.pop() if goes else ""
+            yield b"".join(map(self.run, runs))
+            if last:
                 open_, goes_on = Transducer(self.vocabulary, self.window), scanner.letters if scanner.letter.match(last) else scanner.others
-            yield b"".join(map(self.__getitem__, runs))
-            if open_ is not None:
                 yield np.array(open_.feed(last), np.int32).tobytes()
         if open_ is not None:
             yield np.array(open_.finish(), np.int32).tobytes()
