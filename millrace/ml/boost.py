@@ -1,23 +1,67 @@
-"""AdaBoost (multi-class SAMME) over weighted depth-1 decision trees."""
+"""AdaBoost (multi-class SAMME) over weighted depth-1 decision trees.
+
+A fitted model keeps each tree as one comparison, so that all trees are one projection.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import asdict, dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import col
-from ..session import materialize
+from ..session import Tables
+from .persist import SavedModel
 
 # Rounds between writes of the weighted table, which keep its lineage short.
 ROUNDS_PER_WRITE = 5
 
 
+@dataclass(frozen=True)
+class Stump:
+    """One comparison: rows go left by a threshold or by a set of category codes; feature -1 is a leaf alone."""
+
+    weight: float
+    feature: int
+    threshold: float | None
+    categories: list[float] | None
+    left: int
+    right: int
+
+    @classmethod
+    def of(cls, model: Model, weight: float) -> "Stump":
+        root = model._java_obj.rootNode()
+        if model.depth == 0:
+            return cls(weight, -1, None, None, int(root.prediction()), int(root.prediction()))
+        split = root.split()
+        threshold = categories = None
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            threshold = float(split.threshold())
+        else:
+            categories = [float(c) for c in split.leftCategories()]
+        return cls(weight, int(split.featureIndex()), threshold, categories, int(root.leftChild().prediction()), int(root.rightChild().prediction()))
+
+    def vote(self, features: Column, label: int) -> Column | None:
+        """What it adds to a class."""
+        left, right = (F.lit(self.weight if side == label else 0.0) for side in (self.left, self.right))
+        if label not in (self.left, self.right):
+            return None
+        if self.feature < 0 or self.left == self.right:
+            return left
+        value = F.get(features, F.lit(self.feature))
+        goes_left = value <= F.lit(self.threshold) if self.categories is None else value.isin(self.categories)
+        return F.when(goes_left, left).otherwise(right)
+
+
 class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     """Each round fits a stump to the current weights and raises those of its errors."""
 
@@ -29,50 +73,73 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
     def _fit(self, dataset: DataFrame) -> "AdaBoostModel":
         features, label = self.getFeaturesCol(), self.getLabelCol()
-        table = materialize(
-            dataset.select(col(features).alias("f"), col(label).cast("double").alias("y"), F.lit(1.0).alias("w")), "boost"
-        )
-        classes = int(table.agg(F.max("y")).first()[0]) + 1
-        stump = DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", maxDepth=1, seed=self.seed)
-        stumps: list[tuple[float, Model]] = []
+        with Tables(dataset.sparkSession) as tables:
+            table = tables.keep(dataset.select(col(features).alias("f"), col(label).cast("double").alias("y"), F.lit(1.0).alias("w")), "boost")
+            classes = int(table.agg(F.max("y")).first()[0]) + 1
+            return self._copyValues(AdaBoostModel(self._stumps(table, classes, tables), classes))
+
+    def _stumps(self, table: DataFrame, classes: int, tables: Tables) -> list[Stump]:
+        tree = DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", maxDepth=1, seed=self.seed)
+        stumps: list[Stump] = []
         for number in range(self.rounds):
-            model = stump.fit(table)
+            model = tree.fit(table)
             judged = model.transform(table).select("f", "y", "w", (F.col("prediction") != F.col("y")).alias("wrong"))
             sums = judged.agg(F.sum(F.when(F.col("wrong"), F.col("w")).otherwise(0.0)).alias("e"), F.sum("w").alias("w")).first()
             error = sums["e"] / sums["w"]
             if error >= 1 - 1 / classes:
                 # No better than guessing: keep it only if there is nothing else.
-                if not stumps:
-                    stumps.append((1.0, model))
-                break
+                return stumps or [Stump.of(model, 1.0)]
             if error <= 0:
-                stumps.append((1.0, model))
-                break
+                return [*stumps, Stump.of(model, 1.0)]
             alpha = math.log((1 - error) / error) + math.log(max(classes - 1, 1))
-            stumps.append((alpha, model))
+            stumps.append(Stump.of(model, alpha))
             raised = F.col("w") * F.when(F.col("wrong"), math.exp(alpha)).otherwise(1.0) / F.lit(sums["w"])
             table = judged.select("f", "y", raised.alias("w"))
             if (number + 1) % ROUNDS_PER_WRITE == 0 and number + 1 < self.rounds:
-                table = materialize(table, "boost")
-        return self._copyValues(AdaBoostModel(stumps, classes))
+                table = tables.keep(table, "boost")
+                tables.drop(but=1)
+        return stumps
+
 
+class AdaBoostModel(SavedModel, Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasRawPredictionCol, HasProbabilityCol):
+    """The classes' summed votes (raw), the most voted class, and a probability.
 
-class AdaBoostModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    def __init__(self, stumps: list[tuple[float, Model]], classes: int):
+    The probability is the softmax of each class's share of the votes less the mean
+    share of the others, scaled down by the number of other classes.
+    """
+
+    def __init__(self, stumps: list[Stump], classes: int):
         super().__init__()
         self.stumps, self.classes = stumps, classes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        kept = [col(c) for c in dataset.columns]
-        table = dataset.withColumns({"_f": col(self.getFeaturesCol()), "_votes": F.array(*[F.lit(0.0)] * self.classes)})
-        for alpha, stump in self.stumps:
-            scored = stump.copy({stump.featuresCol: "_f", stump.predictionCol: "_p", stump.rawPredictionCol: "", stump.probabilityCol: ""})
-            voted = scored.transform(table)
-            table = voted.select(*kept, "_f", _add_vote(alpha).alias("_votes"))
+        features, kept = F.col("_features"), [col(c) for c in dataset.columns]
+        table = dataset.withColumn("_features", vector_to_array(col(self.getFeaturesCol())))
+        votes = [[v for s in self.stumps if (v := s.vote(features, label)) is not None] for label in range(self.classes)]
+        table = table.withColumn("_votes", F.array(*[reduce(Column.__add__, v, F.lit(0.0)) for v in votes]))
+        others = max(self.classes - 1, 1)
+        total = sum(s.weight for s in self.stumps) or 1.0
+        odds = F.transform("_votes", lambda v: F.exp((v - (F.lit(total) - v) / others) / (total * others)))
+        table = table.withColumn("_odds", odds)
+        sure = F.transform("_odds", lambda o: o / F.aggregate("_odds", F.lit(0.0), lambda a, b: a + b))
         # The first class wins a tie.
         best = F.array_position("_votes", F.array_max("_votes")) - 1
-        return table.select(*kept, best.cast("double").alias(self.getPredictionCol()))
+        return table.select(
+            *kept,
+            array_to_vector("_votes").alias(self.getRawPredictionCol()),
+            array_to_vector(sure).alias(self.getProbabilityCol()),
+            best.cast("double").alias(self.getPredictionCol()),
+        )
+
+    def settings(self) -> dict[str, Any]:
+        return {"classes": self.classes}
 
+    def save_parts(self, path: str, spark: SparkSession) -> None:
+        rows = [(i, *asdict(s).values()) for i, s in enumerate(self.stumps)]
+        schema = "round int, weight double, feature int, threshold double, categories array<double>, left int, right int"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/stumps")
 
-def _add_vote(alpha: float) -> Column:
-    return F.transform("_votes", lambda votes, i: votes + F.when(i == F.col("_p"), F.lit(alpha)).otherwise(0.0))
+    @classmethod
+    def from_parts(cls, settings: dict[str, Any], path: str, spark: SparkSession) -> "AdaBoostModel":
+        rows = spark.read.parquet(f"{path}/stumps").orderBy("round").drop("round").collect()  # one row a round
+        return cls([Stump(**r.asDict()) for r in rows], settings["classes"])

@@ -11,19 +11,21 @@ points repeated any number of times add no work.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Cells, as_matrix, distance_blocks, nearest_in_rows
 from ..functions.kinds import as_double, as_list, col, require_numeric
 from ..session import materialize
+from .persist import SavedModel
 
 CELL_ROWS = 2_000
 SAMPLE_PER_CELL = 32
@@ -134,12 +136,16 @@ def _distinct_points(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _answers(train: DataFrame, queries: DataFrame, k: int, problem: str) -> DataFrame:
-    """(_x, _answer) by majority vote, smallest label on a tie, or by mean."""
+    """(_x, _answer) by majority vote, smallest label on a tie, or by mean; a vote has ``_votes`` by label too."""
     near = _nearest_points(_distinct_points(train, k), queries.select("_x").distinct(), k)
     if problem == "regression":
         return near.groupBy("_x").agg(F.avg("_y").alias("_answer"))
     votes = near.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    return votes.groupBy("_x").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_y").alias("y")))["y"].alias("_answer"))
+    # At most k labels a point.
+    return votes.groupBy("_x").agg(
+        F.min(F.struct((-F.col("_n")).alias("n"), F.col("_y").alias("y")))["y"].alias("_answer"),
+        F.map_from_entries(F.collect_list(F.struct("_y", "_n"))).alias("_votes"),
+    )
 
 
 def knn_predict(
@@ -186,17 +192,38 @@ class KNearest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
             F.xxhash64(vector_to_array(self.getFeaturesCol()), col(self.getLabelCol())).alias("_tk"),
             col(self.getLabelCol()).cast("double").alias("_y"),
         )
-        model = KNearestModel(points, self.k, self.problem)
+        # The model's own table: it outlives the one it was fitted on.
+        points = materialize(_distinct_points(points, self.k), "knn-model")
+        classes = int(points.agg(F.max("_y")).first()[0] or 0) + 1 if self.problem == "classification" else 0
+        model = KNearestModel(points, self.k, self.problem, classes)
         return self._copyValues(model)
 
 
-class KNearestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    def __init__(self, points: DataFrame, k: int, problem: str):
+class KNearestModel(SavedModel, Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasRawPredictionCol, HasProbabilityCol):
+    """The train points; a classifier also gives the neighbours' counts (raw) and shares by class."""
+
+    def __init__(self, points: DataFrame, k: int, problem: str, classes: int = 0):
         super().__init__()
-        self.points, self.k, self.problem = points, k, problem
+        self.points, self.k, self.problem, self.classes = points, k, problem, classes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         asked = dataset.withColumn("_q", vector_to_array(self.getFeaturesCol()))
         answers = _answers(self.points, asked.select(F.col("_q").alias("_x")), self.k, self.problem)
         joined = asked.join(answers, F.col("_q") == F.col("_x"), "left")
-        return joined.select(*[col(c) for c in dataset.columns], F.col("_answer").cast("double").alias(self.getPredictionCol()))
+        kept, answer = [col(c) for c in dataset.columns], F.col("_answer").cast("double").alias(self.getPredictionCol())
+        if self.problem == "regression":
+            return joined.select(*kept, answer)
+        counts = F.array(*[F.coalesce(F.try_element_at("_votes", F.lit(float(c))), F.lit(0)).cast("double") for c in range(self.classes)])
+        joined = joined.withColumn("_counts", counts)
+        shares = F.transform("_counts", lambda n: F.try_divide(n, F.aggregate("_counts", F.lit(0.0), lambda a, b: a + b)))
+        return joined.select(*kept, array_to_vector("_counts").alias(self.getRawPredictionCol()), array_to_vector(shares).alias(self.getProbabilityCol()), answer)
+
+    def settings(self) -> dict[str, Any]:
+        return {"k": self.k, "problem": self.problem, "classes": self.classes}
+
+    def save_parts(self, path: str, spark: SparkSession) -> None:
+        self.points.write.parquet(f"{path}/points")
+
+    @classmethod
+    def from_parts(cls, settings: dict[str, Any], path: str, spark: SparkSession) -> "KNearestModel":
+        return cls(spark.read.parquet(f"{path}/points"), **settings)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 from typing import Any
 
@@ -15,14 +17,18 @@ from pyspark.ml import regression as R
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.kinds import as_list, col, require, require_numeric
+from ..session import Tables
 from . import metrics
 from .boost import AdaBoost
+from .calibrate import Calibrated
 from .checks import scoring_for
 from .knn import KNearest
+from .persist import SavedModel, load_model
 
 # Models that gain nothing from scaled features (fixed values).
 UNSCALED = ("Random Forest", "Decision Tree", "Gradient Boosting", "AdaBoost")
@@ -77,6 +83,7 @@ def classifiers(features: int, classes: int, rows: int, seed: int = 42) -> dict[
     if classes > 2:
         for name in ("SVM", "Gradient Boosting"):
             models[name] = C.OneVsRest(classifier=models[name])
+    models["SVM"] = Calibrated(models["SVM"], seed=seed)
     return models
 
 
@@ -120,9 +127,9 @@ def pipeline(name: str, estimator: Estimator, features: Iterable[str], scale: bo
 
 
 # -- evaluation -------------------------------------------------------------
-def evaluator(scoring: str, probabilities: bool = True) -> E.Evaluator:
+def evaluator(scoring: str) -> E.Evaluator:
     if scoring == "roc_auc":
-        return E.BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="rawPrediction" if probabilities else "prediction")
+        return E.BinaryClassificationEvaluator(metricName="areaUnderROC")
     if scoring == "f1_weighted":
         return E.MulticlassClassificationEvaluator(metricName="f1")
     if scoring == "accuracy":
@@ -132,18 +139,71 @@ def evaluator(scoring: str, probabilities: bool = True) -> E.Evaluator:
     raise ValueError(f"unknown scoring {scoring!r}")
 
 
-def cross_validate(
-    est: Estimator, df: DataFrame, scoring: str, folds: int = 5, seed: int = 42, key: str | Iterable[str] | None = None
-) -> tuple[float, float]:
-    """Mean and deviation of the score over folds chosen by a seeded hash."""
+def out_of_fold(
+    models: Mapping[str, Estimator], df: DataFrame, tables: Tables, folds: int = 5, seed: int = 42, key: str | Iterable[str] | None = None, parallelism: int = 4
+) -> DataFrame:
+    """(model, fold, label, prediction, score): every row scored by models fitted on the other folds.
+
+    All models share one fold column, a seeded hash of ``key``. ``score`` is the raw
+    prediction of the second of two classes, NULL for models without one. The fits run
+    side by side, and each writes its rows into ``tables``.
+    """
     if not 3 <= folds <= 10:
         raise ValueError("folds must be between 3 and 10")
-    place = _hashed(df, seed + 1, key, folds)
-    scores = []
-    for fold in range(folds):
-        held = est.fit(df.filter(place != fold)).transform(df.filter(place == fold))
-        scores.append(evaluator(scoring, "rawPrediction" in held.columns).evaluate(held))
-    return fmean(scores), pstdev(scores)
+    dealt = tables.keep(df.withColumn("_fold", _hashed(df, seed + 1, key, folds)), "folds")
+
+    def scored(work: tuple[str, Estimator, int]) -> DataFrame:
+        name, est, fold = work
+        held = est.fit(dealt.filter(F.col("_fold") != fold)).transform(dealt.filter(F.col("_fold") == fold))
+        score = F.lit(None).cast("double")
+        if "rawPrediction" in held.columns:
+            raw = vector_to_array("rawPrediction")
+            score = F.when(F.size(raw) == 2, F.get(raw, F.lit(1)))
+        rows = held.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.col("label").cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"), score.alias("score"))
+        return tables.keep(rows, "out-of-fold")
+
+    todo = [(name, est, fold) for name, est in models.items() for fold in range(folds)]
+    with ThreadPool(max(1, min(parallelism, len(todo)))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(scored), todo)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_scores(rows: DataFrame, scoring: str) -> DataFrame:
+    """(model, fold, value): the score of each fold of ``out_of_fold``; a ROC area only where there are scores."""
+    keys, label, prediction = ["model", "fold"], F.col("label"), F.col("prediction")
+    if scoring == "accuracy":
+        return rows.groupBy(*keys).agg(F.avg((label == prediction).cast("double")).alias("value"))
+    if scoring == "r2":
+        return rows.groupBy(*keys).agg((1 - F.try_divide(F.sum((label - prediction) ** 2), F.var_pop(label) * F.count(F.lit(1)))).alias("value"))
+    if scoring == "f1_weighted":
+        cells = rows.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        hit = F.when(label == prediction, F.col("n")).otherwise(0.0)
+        sides = F.array(F.struct(label.alias("class"), F.col("n").alias("t"), F.lit(0.0).alias("p"), hit.alias("h")), F.struct(prediction.alias("class"), F.lit(0.0).alias("t"), F.col("n").alias("p"), F.lit(0.0).alias("h")))
+        classes = cells.select(*keys, F.inline(sides)).groupBy(*keys, "class").agg(*[F.sum(c).alias(c) for c in "tph"])
+        # 2 P R / (P + R) with P = h / p and R = h / t.
+        return classes.groupBy(*keys).agg(F.try_divide(F.sum(F.col("t") * 2 * F.col("h") / (F.col("t") + F.col("p"))), F.sum("t")).alias("value"))
+    if scoring == "roc_auc":
+        return metrics.roc_auc_by(rows, keys, "score").withColumnRenamed("roc_auc", "value")
+    raise ValueError(f"unknown scoring {scoring!r}")
+
+
+def cross_validate_all(
+    models: Mapping[str, Estimator], df: DataFrame, scoring: str, folds: int = 5, seed: int = 42, key: str | Iterable[str] | None = None, parallelism: int = 4
+) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and deviation of every model's score over the same folds; None where a fold has no score."""
+    with Tables(df.sparkSession) as tables:
+        rows = out_of_fold(models, df, tables, folds, seed, key, parallelism)
+        found: dict[str, list[float | None]] = {name: [] for name in models}
+        for row in fold_scores(rows, scoring).collect():  # one row a model and fold
+            found[row["model"]].append(row["value"])
+    return {name: (fmean(v), pstdev(v)) if v and None not in v else (None, None) for name, v in found.items()}
+
+
+def cross_validate(
+    est: Estimator, df: DataFrame, scoring: str, folds: int = 5, seed: int = 42, key: str | Iterable[str] | None = None
+) -> tuple[float | None, float | None]:
+    """Mean and deviation of one model's score over folds chosen by a seeded hash."""
+    return cross_validate_all({"": est}, df, scoring, folds, seed, key)[""]
 
 
 @dataclass(frozen=True)
@@ -193,6 +253,7 @@ def train_models(
     scale: bool = True,
     seed: int = 42,
     key: str | Iterable[str] | None = None,
+    parallelism: int = 4,
 ) -> list[Trained]:
     """Train and evaluate models on one split of the table.
 
@@ -201,8 +262,8 @@ def train_models(
     features = as_list(features)
     rows = label_rows(df, target, problem)
     train, held = split(rows.select(*[col(f) for f in features], "label", *[col(k) for k in as_list(key) if k not in features]), test, seed, key)
-    train, held = train.persist(), held.persist()
-    try:
+    with Tables(df.sparkSession) as tables:
+        train, held = tables.keep(train, "train"), tables.keep(held, "test")
         if isinstance(models, Mapping):
             chosen = dict(models)
         else:
@@ -213,13 +274,12 @@ def train_models(
                 every = regressors(seen["n"], seen["std"] or 1.0, seed)
             chosen = {m: every[m] for m in (as_list(models) if models is not None else every)}
         scoring = scoring_for(train, "label", problem)
-        return [
-            evaluate(name, pipeline(name, est, features, scale), train, held, problem, scoring, folds, seed)
-            for name, est in chosen.items()
-        ]
-    finally:
-        train.unpersist()
-        held.unpersist()
+        lines = {name: pipeline(name, est, features, scale) for name, est in chosen.items()}
+        done = [evaluate(name, est, train, held, problem, scoring, None, seed) for name, est in lines.items()]
+        if folds:
+            checked = cross_validate_all(lines, train, scoring, folds, seed, parallelism=parallelism)
+            done = [replace(d, cv_mean=checked[d.name][0], cv_std=checked[d.name][1]) for d in done]
+        return done
 
 
 # -- tuning -----------------------------------------------------------------
@@ -259,8 +319,6 @@ def tune(
 
 def tuning_table(found: CrossValidatorModel) -> DataFrame:
     """(params, avg_metric, std_metric) of every grid point."""
-    from pyspark.sql import SparkSession
-
     rows = []
     for params, mean, std in zip(found.getEstimatorParamMaps(), found.avgMetrics, found.stdMetrics or []):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
@@ -306,11 +364,23 @@ class Stack(Estimator):
         return StackModel(base, top)
 
 
-class StackModel(Model):
+class StackModel(SavedModel, Model):
     def __init__(self, base: list[PipelineModel], top: PipelineModel):
         super().__init__()
         self.base, self.top = base, top
 
+    def settings(self) -> dict[str, Any]:
+        return {"models": len(self.base)}
+
+    def save_parts(self, path: str, spark: SparkSession) -> None:
+        self.top.write().save(f"{path}/top")
+        for i, model in enumerate(self.base):
+            model.write().save(f"{path}/base-{i}")
+
+    @classmethod
+    def from_parts(cls, settings: dict[str, Any], path: str, spark: SparkSession) -> "StackModel":
+        return cls([load_model(f"{path}/base-{i}") for i in range(settings["models"])], load_model(f"{path}/top"))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         out = dataset
         for i, model in enumerate(self.base):
@@ -330,11 +400,12 @@ def stack(df: DataFrame, features: Iterable[str], target: str, problem: str, mod
     features = as_list(features)
     rows = label_rows(df, target, problem).select(*[col(f) for f in features], "label")
     train, held = split(rows, test, seed)
-    started = time.monotonic()
-    fitted = Stack(models, features, problem, seed=seed).fit(train.persist())
-    seconds = time.monotonic() - started
-    found = _test_metrics(fitted.transform(held), problem)
-    train.unpersist()
+    with Tables(df.sparkSession) as tables:
+        train, held = tables.keep(train, "train"), tables.keep(held, "test")
+        started = time.monotonic()
+        fitted = Stack(models, features, problem, seed=seed).fit(train)
+        seconds = time.monotonic() - started
+        found = _test_metrics(fitted.transform(held), problem)
     return Trained("Ensemble Stack", fitted, seconds, None, None, found)
 
 
@@ -348,8 +419,6 @@ _NUMBER_COLUMNS = {"R2": "r2", "RMSE": "rmse", "MAE": "mae", "MAPE": "mape"}
 
 def leaderboard(results: Iterable[Trained], problem: str) -> DataFrame:
     """One row per model: time, cross-validation and test metrics."""
-    from pyspark.sql import SparkSession
-
     wanted = _CLASS_COLUMNS if problem == "classification" else _NUMBER_COLUMNS
     rows = []
     for r in results:
@@ -370,12 +439,5 @@ def feature_importance(model: PipelineModel, features: Iterable[str], k: int = 1
         weights = abs(last.coefficients.toArray())
     else:
         raise TypeError(f"{type(last).__name__} has no feature importance")
-    from pyspark.sql import SparkSession
-
     rows = sorted(((f, float(w)) for f, w in zip(features, weights)), key=lambda fw: (-fw[1], fw[0]))[:k]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
-
-
-def score_column(scored: DataFrame, positive: int = 1) -> Column:
-    """The probability of one class, for ranking metrics."""
-    return vector_to_array(scored["probability"])[positive]

@@ -270,6 +270,13 @@ def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents that are nearly the same."""
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return fuzzy.fuzzy_pairs(lines, "line", 95)
+
+
 @query("SELECT p_partkey, CASE p_name WHEN 'red widget' THEN 'widget' WHEN 'blue widget' THEN 'widget' ELSE p_name END AS p_name FROM part")
 def merge_values(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_name")

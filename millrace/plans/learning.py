@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import checks, knn, metrics, models
+from ..ml.boost import AdaBoost
 from ..operators.profile import value_counts
 from ..session import fresh_path
 from ..sources import sinks
@@ -302,6 +303,27 @@ def cross_validated_classifiers(spark: SparkSession, sf: str) -> DataFrame:
     return models.leaderboard(found, "classification").drop("Training Time (s)")
 
 
+def validated(spark: SparkSession, sf: str, problem: str) -> DataFrame:
+    """(model, cv_mean, cv_std) of every model of a problem over three folds of the whole table."""
+    label = "band" if problem == "classification" else "cost"
+    rows = models.label_rows(priced_parts(spark, sf), label, problem)
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("std"), F.max("label").alias("top")).first()
+    every = models.regressors(seen["n"], seen["std"] or 1.0) if problem == "regression" else models.classifiers(len(FEATURES), int(seen["top"]) + 1, seen["n"])
+    lines = {name: models.pipeline(name, est, FEATURES) for name, est in every.items()}
+    found = models.cross_validate_all(lines, rows, "r2" if problem == "regression" else "roc_auc", folds=3, key="p_partkey")
+    return spark.createDataFrame([(name, *scores) for name, scores in found.items()], "model string, cv_mean double, cv_std double")
+
+
+@query()
+def cross_validated_every_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return validated(spark, sf, "classification")
+
+
+@query()
+def cross_validated_every_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    return validated(spark, sf, "regression")
+
+
 @query()
 def tune(spark: SparkSession, sf: str) -> DataFrame:
     """The forest grid but for its larger forests, which grow 6,300 trees in all."""
@@ -331,6 +353,40 @@ def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sinks.predictions({"Linear": sinks.load_model(path)}, test), 6, "Linear_Predicted")
 
 
+@query(
+    _knn_sql(
+        """, bands AS (SELECT p_brand, DENSE_RANK() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)),
+        v AS (SELECT p_partkey, code, COUNT(*) AS votes, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY COUNT(*) DESC, code) AS o
+          FROM n JOIN bands USING (p_brand) WHERE r <= 5 GROUP BY p_partkey, code)
+        SELECT p_partkey, CAST(code AS DOUBLE) AS prediction, CAST(votes AS DOUBLE) / 5 AS confidence FROM v WHERE o = 1"""
+    )
+)
+def saved_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Class and share of the votes by a k-NN classifier that was saved and loaded again."""
+    parts = table(spark, sf, "part")
+    rows = models.label_rows(parts, "p_brand", "classification")
+    fitted = models.pipeline("K-Neighbors", knn.KNearest(k=5), FEATURES, scale=False).fit(rows.filter("p_partkey % 5 <> 0"))
+    path = fresh_path(spark, "model")
+    sinks.save_model(fitted, path)
+    scored = sinks.load_model(path).transform(rows.filter("p_partkey % 5 = 0"))
+    return scored.select("p_partkey", "prediction", metrics.predicted_confidence().alias("confidence"))
+
+
+@query()
+def saved_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of boosted stumps and of a stack over k-NN, saved and loaded again."""
+    parts = models.label_rows(priced_parts(spark, sf), "band", "classification")
+    train, test = models.split(parts, 0.2, key="p_partkey")
+    base = {"K-Neighbors": knn.KNearest(k=5), "AdaBoost": AdaBoost(rounds=10), "Naive Bayes": C.NaiveBayes(modelType="gaussian")}
+    fitted = {"AdaBoost": models.pipeline("AdaBoost", base["AdaBoost"], FEATURES).fit(train), "Stack": models.Stack(base, FEATURES, "classification").fit(train.select(*FEATURES, "label"))}
+    loaded = {}
+    for name, model in fitted.items():
+        path = fresh_path(spark, "model")
+        sinks.save_model(model, path)
+        loaded[name] = sinks.load_model(path)
+    return sinks.predictions(loaded, test)
+
+
 @query()
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.label_rows(priced_parts(spark, sf), "cost", "regression")

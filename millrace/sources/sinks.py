@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ml import persist
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header, one part file per partition."""
@@ -28,7 +30,7 @@ def write_pivot(table: DataFrame, path: str, mode: str = "errorifexists") -> Non
     write_csv(table, path, mode)
 
 
-def predictions(models: Mapping[str, PipelineModel], test: DataFrame, label: str = "label") -> DataFrame:
+def predictions(models: Mapping[str, Model], test: DataFrame, label: str = "label") -> DataFrame:
     """``Actual`` and one ``<model>_Predicted`` column per model."""
     out, kept = test.withColumn("Actual", F.col(label)), ["Actual"]
     for name, model in models.items():
@@ -38,9 +40,10 @@ def predictions(models: Mapping[str, PipelineModel], test: DataFrame, label: str
     return out.select(*[F.col(f"`{c}`") for c in kept])
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: Model, path: str) -> None:
+    """Any trained model: a pipeline or a stack, whatever its stages are written in."""
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Model:
+    return persist.load_model(path)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -128,3 +130,26 @@ def test_length_histogram_and_profile(spark):
         {"avg_length": 7 / 3, "max_length": 3, "min_length": 1, "unique_pct": 50.0}
     )
     assert {r.bin: r["count"] for r in text.length_histogram(df, "t", 2).collect()} == {0: 1, 1: 2}
+
+
+def test_fuzzy_candidates_of_random_names_are_few(spark):
+    r = random.Random(2)
+    names = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 14))) for _ in range(4000)})
+    values = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(names)], "_id long, _value string, _len int")
+    assert fuzzy.candidate_pairs(values, 80).count() < 0.03 * len(names) ** 2 / 2
+
+
+@pytest.mark.parametrize("threshold", [30, 70, 80, 95, 100])
+def test_fuzzy_pairs_of_short_and_long_values(spark, threshold):
+    r, values = random.Random(3), set()
+    for base in ["".join(r.choice("abcxyz") for _ in range(k)) for k in (1, 2, 3, 5, 8, 13, 21, 34, 90, 200) for _ in range(3)]:
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randrange(0, 4)):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randrange(2)] = r.choice(["", "é", "z"])
+            values.add("".join(w))
+    values = sorted(values - {""})
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if 200 * lcs_length(a, b) >= threshold * (len(a) + len(b)) - 1e-6}
+    found = fuzzy.fuzzy_pairs(spark.createDataFrame([(x,) for x in values], "t string"), "t", threshold).collect()
+    assert {(f.value_1, f.value_2) for f in found} == want and len(found) == len(want)

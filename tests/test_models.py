@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.ml import checks, knn, metrics, models
 from millrace.ml.boost import AdaBoost
+from millrace.session import Tables
+from millrace.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +134,80 @@ def test_checks(spark, table):
     assert checks.default_features(table, "y") == ["i", "a", "b", "side", "three"]
     codes = {(r.code) for r in checks.training_advice(table, ["a"], "side", "classification").collect()}
     assert codes == {"medium"}
+
+
+@pytest.fixture(scope="module")
+def labelled(table):
+    return models.label_rows(table, "three", "classification")
+
+
+def same(a, b, columns):
+    rows = [sorted(tuple(map(str, r)) for r in df.select("i", *columns).collect()) for df in (a, b)]
+    assert rows[0] == rows[1]
+
+
+def test_python_models_are_saved_with_their_tables(table, labelled, tmp_path):
+    for name, est in (("K-Neighbors", knn.KNearest(k=5)), ("AdaBoost", AdaBoost(rounds=3)), ("SVM", models.classifiers(2, 3, 400)["SVM"])):
+        if name == "SVM":
+            est.getClassifier().setMaxIter(1)
+        fitted = models.pipeline(name, est, ["a", "b"]).fit(labelled)
+        sinks.save_model(fitted, f"{tmp_path}/{name}")
+        sinks.save_model(fitted, f"{tmp_path}/{name}")  # over the last one
+        loaded = sinks.load_model(f"{tmp_path}/{name}")
+        same(fitted.transform(labelled), loaded.transform(labelled), ["prediction", "probability"])
+    near = models.pipeline("K-Neighbors", knn.KNearest(k=3, problem="regression"), ["a", "b"]).fit(models.label_rows(table, "y", "regression"))
+    sinks.save_model(near, f"{tmp_path}/near")
+    same(near.transform(table), sinks.load_model(f"{tmp_path}/near").transform(table), ["prediction"])
+
+
+def test_a_stack_is_saved_with_its_models(labelled, tmp_path):
+    base = {"K-Neighbors": knn.KNearest(k=5), "AdaBoost": AdaBoost(rounds=3), "Naive Bayes": C.NaiveBayes(modelType="gaussian")}
+    fitted = models.Stack(base, ["a", "b"], "classification", folds=3).fit(labelled.select("i", "a", "b", "label"))
+    sinks.save_model(fitted, f"{tmp_path}/stack")
+    loaded = sinks.load_model(f"{tmp_path}/stack")
+    assert isinstance(loaded, models.StackModel)
+    same(fitted.transform(labelled), loaded.transform(labelled), ["prediction"])
+
+
+def test_boosting_votes_are_one_projection(labelled):
+    model = models.pipeline("AdaBoost", AdaBoost(rounds=8), ["a", "b"]).fit(labelled).stages[-1]
+    rows = models.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(labelled)
+    for r in model.transform(rows).select("a", "b", "rawPrediction", "probability", "prediction").collect():
+        votes = np.zeros(3)
+        for s in model.stumps:
+            votes[s.left if s.feature < 0 or (r.a, r.b)[s.feature] <= s.threshold else s.right] += s.weight
+        total = sum(s.weight for s in model.stumps)
+        odds = np.exp((votes - (total - votes) / 2) / (total * 2))
+        assert np.allclose(r.rawPrediction.toArray(), votes) and np.allclose(r.probability.toArray(), odds / odds.sum())
+        assert r.prediction == votes.argmax()
+    plan = model.transform(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") <= 6  # one each for the rounds would be 8 more
+
+
+def test_neighbour_shares_are_probabilities(labelled):
+    scored = models.pipeline("K-Neighbors", knn.KNearest(k=4), ["a", "b"]).fit(labelled).transform(labelled)
+    for r in scored.select("rawPrediction", "probability", "prediction").collect():
+        raw = r.rawPrediction.toArray()
+        assert raw.sum() == 4 and np.allclose(r.probability.toArray(), raw / 4) and raw[int(r.prediction)] == raw.max()
+
+
+def test_folds_are_shared_and_scored_by_rows(spark, table):
+    two = models.label_rows(table, "side", "classification")
+    lines = {n: models.pipeline(n, e, ["a", "b"]) for n, e in {"Decision Tree": C.DecisionTreeClassifier(maxDepth=3, seed=1), "AdaBoost": AdaBoost(rounds=3)}.items()}
+    with Tables(spark) as tables:
+        rows = models.out_of_fold(lines, two, tables, folds=3, key="i")
+        kept = rows.toPandas()
+        found = {s: {(r.model, r.fold): r.value for r in models.fold_scores(rows, s).collect()} for s in ("accuracy", "f1_weighted", "roc_auc", "r2")}
+    assert len(kept) == 800 and kept.groupby("model").fold.value_counts().unstack().nunique().eq(1).all()
+    for (model, fold), part in kept.groupby(["model", "fold"]):
+        y, p, s = part.label.to_numpy(), part.prediction.to_numpy(), part.score.to_numpy()
+        assert found["accuracy"][model, fold] == pytest.approx((y == p).mean())
+        assert found["r2"][model, fold] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        pairs = s[y == 1][:, None] - s[y == 0][None]
+        assert found["roc_auc"][model, fold] == pytest.approx((pairs > 0).mean() + (pairs == 0).mean() / 2)
+        f1 = sum((y == c).mean() * 2 * ((y == c) & (p == c)).sum() / ((y == c).sum() + (p == c).sum()) for c in (0, 1))
+        assert found["f1_weighted"][model, fold] == pytest.approx(f1)
+    with_null = spark.createDataFrame([("m", 0, 1.0, 1.0, None), ("m", 0, 0.0, 1.0, 0.3)], "model string, fold int, label double, prediction double, score double")
+    assert models.fold_scores(with_null, "roc_auc").first()["value"] is None
+    checked = models.cross_validate_all(lines, two, "roc_auc", folds=3, key="i")
+    assert all(mean > 0.8 and std < 0.2 for mean, std in checked.values())
