@@ -241,10 +241,10 @@ def recommend_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- nearest neighbours -----------------------------------------------------
-def _knn_sql(answer: str) -> str:
+def _knn_sql(answer: str, more: str = "") -> str:
     return f"""WITH te AS (SELECT * FROM part WHERE p_partkey % 5 = 0), tr AS (SELECT * FROM part WHERE p_partkey % 5 <> 0),
     n AS (SELECT te.p_partkey, tr.p_brand, tr.p_retailprice, ROW_NUMBER() OVER (PARTITION BY te.p_partkey ORDER BY
-      SQRT(CAST(te.p_size - tr.p_size AS DOUBLE) ** 2 + (te.p_retailprice - tr.p_retailprice) ** 2), tr.p_partkey) AS r FROM te, tr)
+      SQRT(CAST(te.p_size - tr.p_size AS DOUBLE) ** 2 + (te.p_retailprice - tr.p_retailprice) ** 2{more}), tr.p_partkey) AS r FROM te, tr)
     {answer}"""
 
 
@@ -358,14 +358,15 @@ def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
         """, bands AS (SELECT p_brand, DENSE_RANK() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)),
         v AS (SELECT p_partkey, code, COUNT(*) AS votes, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY COUNT(*) DESC, code) AS o
           FROM n JOIN bands USING (p_brand) WHERE r <= 5 GROUP BY p_partkey, code)
-        SELECT p_partkey, CAST(code AS DOUBLE) AS prediction, CAST(votes AS DOUBLE) / 5 AS confidence FROM v WHERE o = 1"""
+        SELECT p_partkey, CAST(code AS DOUBLE) AS prediction, CAST(votes AS DOUBLE) / 5 AS confidence FROM v WHERE o = 1""",
+        " + ((CAST(te.p_partkey AS DOUBLE) - CAST(tr.p_partkey AS DOUBLE)) / 1000) ** 2",  # no two rows are equally far
     )
 )
 def saved_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Class and share of the votes by a k-NN classifier that was saved and loaded again."""
     parts = table(spark, sf, "part")
-    rows = models.label_rows(parts, "p_brand", "classification")
-    fitted = models.pipeline("K-Neighbors", knn.KNearest(k=5), FEATURES, scale=False).fit(rows.filter("p_partkey % 5 <> 0"))
+    rows = models.label_rows(parts, "p_brand", "classification").withColumn("place", F.col("p_partkey") / F.lit(1000.0))
+    fitted = models.pipeline("K-Neighbors", knn.KNearest(k=5), [*FEATURES, "place"], scale=False).fit(rows.filter("p_partkey % 5 <> 0"))
     path = fresh_path(spark, "model")
     sinks.save_model(fitted, path)
     scored = sinks.load_model(path).transform(rows.filter("p_partkey % 5 = 0"))
