@@ -222,3 +222,23 @@ def recommend_models(leaderboard: DataFrame, problem: str) -> DataFrame:
         for key, _, _ in picks
     ]
     return valid.agg(*best).select(F.inline(F.array(*rows))).filter(F.col("model").isNotNull())
+
+
+# -- targets ----------------------------------------------------------------
+def target_summary(df: DataFrame, target: str, problem: str) -> DataFrame:
+    """One row: how many rows have a target, and its classes or else its range."""
+    require(df, target)
+    rows = F.count(col(target)).alias("rows")
+    if problem == "classification":
+        return df.agg(rows, F.count_distinct(col(target)).alias("classes"))
+    value = as_double(df, target)
+    return df.agg(rows, F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+
+def target_distribution(df: DataFrame, target: str, problem: str, bins: int = 30) -> DataFrame:
+    """(value, count) of every class, or the bins of a numeric target."""
+    if problem == "regression":
+        return histogram(df, target, bins)
+    require(df, target)
+    known = df.filter(col(target).isNotNull())
+    return known.groupBy(col(target).alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value")

@@ -9,7 +9,7 @@ lets Spark split even a key that holds a third of all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +65,23 @@ def _join_back(table: DataFrame, carried: DataFrame, partition: list[str]) -> Da
     return table.join(carried, reduce(lambda a, b: a & b, same))
 
 
+def running_sums(
+    df: DataFrame, order_by: Iterable[str], weights: Mapping[str, str | None], partition_by: Iterable[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Adds, for every target, the sum of its weight (1 if None) over all earlier rows, in one pass."""
+    partition, order, targets = as_list(partition_by), as_list(order_by), list(weights)
+    table = sliced(df, order, partition, slices)
+    amounts = [col(w).cast("bigint") if w else F.lit(1).cast("bigint") for w in weights.values()]
+    totals = _per_slice(table, partition, [F.sum(a).alias(f"_sum{i}") for i, a in enumerate(amounts)])
+    before = _slice_order(partition).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = {f"_offset{i}": F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)) for i in range(len(targets))}
+    carried = totals.withColumns(offsets).drop(*[f"_sum{i}" for i in range(len(targets))])
+    joined = _join_back(table, carried, partition)
+    inside = Window.partitionBy(*[col(c) for c in partition], _SLICE).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {t: F.col(f"_offset{i}") + F.coalesce(F.sum(a).over(inside), F.lit(0)) for i, (t, a) in enumerate(zip(targets, amounts))}
+    return joined.withColumns(sums).select(*[col(c) for c in df.columns], *[col(t) for t in targets])
+
+
 def running_before(
     df: DataFrame,
     order_by: Iterable[str],
@@ -74,17 +91,7 @@ def running_before(
     slices: int | None = None,
 ) -> DataFrame:
     """Adds the sum of ``weight`` (default 1) over all earlier rows."""
-    partition, order = as_list(partition_by), as_list(order_by)
-    table = sliced(df, order, partition, slices)
-    amount = col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    totals = _per_slice(table, partition, [F.sum(amount).alias("_sum")])
-    earlier = F.sum("_sum").over(_slice_order(partition).rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.withColumn("_offset", F.coalesce(earlier, F.lit(0))).drop("_sum")
-    joined = _join_back(table, carried, partition)
-    inside = Window.partitionBy(*[col(c) for c in partition], _SLICE).orderBy(*_order(order))
-    local = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    result = joined.withColumn(target, F.col("_offset") + F.coalesce(local, F.lit(0)))
-    return result.select(*[col(c) for c in df.columns], col(target))
+    return running_sums(df, order_by, {target: weight}, partition_by, slices)
 
 
 def with_position(

@@ -23,54 +23,71 @@ STRICT_FALSE = ("False", "false", "0")
 DATE_SHARE, NUMBER_SHARE, SURE_SHARE, CATEGORY_SHARE = 0.8, 0.9, 0.95, 0.05
 
 
+# Longer texts are judged row by row: sent over whole to be judged once, they would cost more.
+LONG_TEXT = 200
+
+
 # -- suggest ----------------------------------------------------------------
+def _votes(text: Column) -> list[tuple[str, Column]]:
+    """What one value says about its column."""
+    number = scalar.to_number(text, T.StringType())
+    bare = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
+    votes = [(f"d{j}", scalar.parse_timestamp(text, (f,)).isNotNull()) for j, f in enumerate(scalar.DATE_FORMATS)]
+    votes += [("x", number.isNotNull()), ("w", F.coalesce(number == F.floor(number), F.lit(True)))]
+    return [*votes, ("g", bare.rlike(r"^\d+$")), ("l", text.rlike(r"\p{L}"))]
+
+
 def suggest_types(df: DataFrame) -> DataFrame:
     """Better types for text columns, judged on every value.
 
     Dates first, then numbers, then categories, then mixed content. Columns that
-    need no change are left out.
+    need no change are left out. A value is judged once, however many rows hold it.
     """
     texts = text_columns(df)
     if not texts:
         return df.sparkSession.createDataFrame(
             [], "column string, current_type string, suggested_type string, confidence string, match_pct double, format string, reason string"
         )
-    wanted = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(texts):
-        text = col(c)
-        number = scalar.to_number(text, T.StringType())
-        wanted.append(F.count(text).alias(f"n{i}"))
-        wanted += [F.count(scalar.parse_timestamp(text, (f,))).alias(f"d{i}_{j}") for j, f in enumerate(scalar.DATE_FORMATS)]
-        wanted.append(F.count(number).alias(f"x{i}"))
-        wanted.append(F.coalesce(F.bool_and(number == F.floor(number)), F.lit(True)).alias(f"w{i}"))
-        bare = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
-        wanted.append(F.coalesce(F.bool_or(bare.rlike(r"^\d+$")), F.lit(False)).alias(f"g{i}"))
-        wanted.append(F.coalesce(F.bool_or(text.rlike(r"\p{L}")), F.lit(False)).alias(f"l{i}"))
-    one_row = beside(df.agg(*wanted), value_summary(df, texts))
-    return rows_from(one_row, [_suggestion(i, c) for i, c in enumerate(texts)]).filter(F.col("suggested_type").isNotNull())
-
-
-def _suggestion(i: int, name: str) -> Column:
-    n, rows = F.col(f"n{i}"), F.col("rows")
-    dates = [F.col(f"d{i}_{j}") for j in range(len(scalar.DATE_FORMATS))]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), col(c).alias("_t")) for i, c in enumerate(texts)])))
+    long = F.length("_t") > LONG_TEXT
+    early = F.when(long, F.struct(*[v.alias(n) for n, v in _votes(F.col("_t"))], F.sha2("_t", 256).alias("_key")))
+    values = cells.select("_c", F.when(~long, F.col("_t")).alias("_v"), early.alias("_e")).groupBy("_c", "_v", "_e").agg(F.count(F.lit(1)).alias("_n"))
+    present, n = F.col("_v").isNotNull() | F.col("_e").isNotNull(), F.col("_n")
+    wanted = [F.sum(n).alias("rows"), F.sum(F.when(present, n).otherwise(0)).alias("n"), F.count_if(present).alias("u")]
+    for name, vote in _votes(F.col("_v")):
+        vote = present & F.coalesce(F.when(F.col("_e").isNull(), vote).otherwise(F.col(f"_e.{name}")), F.lit(False))
+        if name == "w":  # of all numbers
+            wanted.append(F.bool_and(vote | ~present).alias(name))
+        elif name in "gl":
+            wanted.append(F.bool_or(vote).alias(name))
+        else:
+            wanted.append(F.sum(F.when(vote, n).otherwise(0)).alias(name))
+    judged = values.groupBy("_c").agg(*wanted)
+    found = judged.select(F.element_at(F.array(*[F.lit(c) for c in texts]), F.col("_c") + 1).alias("_name"), *[c for c in judged.columns if c != "_c"])
+    return found.select(F.inline(F.array(_suggestion()))).filter(F.col("suggested_type").isNotNull())
+
+
+def _suggestion() -> Column:
+    n, rows = F.col("n"), F.col("rows")
+    dates = [F.col(f"d{j}") for j in range(len(scalar.DATE_FORMATS))]
     best = F.greatest(*dates)
     # The earlier format wins a tie, so day-first beats month-first.
     fmt = F.coalesce(*[F.when(d == best, F.lit(f)) for d, f in zip(dates, scalar.DATE_FORMATS)])
-    date_share, number_share, distinct_share = share(best, n), share(F.col(f"x{i}"), n), share(F.col(f"u{i}"), rows)
+    date_share, number_share, distinct_share = share(best, n), share(F.col("x"), n), share(F.col("u"), rows)
     is_date = date_share > DATE_SHARE
     is_number = ~is_date & (number_share > NUMBER_SHARE)
     is_category = ~is_date & ~is_number & (distinct_share < CATEGORY_SHARE)
-    is_mixed = ~is_date & ~is_number & ~is_category & F.col(f"g{i}") & F.col(f"l{i}")
+    is_mixed = ~is_date & ~is_number & ~is_category & F.col("g") & F.col("l")
     suggested = (
         F.when(n == 0, None)
         .when(is_date, "datetime")
-        .when(is_number & F.col(f"w{i}"), "integer")
+        .when(is_number & F.col("w"), "integer")
         .when(is_number, "float")
         .when(is_category, "category")
         .when(is_mixed, "string")
     )
     return F.struct(
-        F.lit(name).alias("column"),
+        F.col("_name").alias("column"),
         F.lit("string").alias("current_type"),
         suggested.alias("suggested_type"),
         F.when(is_number & (number_share <= SURE_SHARE), "Medium").when(is_mixed, "Medium").otherwise("High").alias("confidence"),
@@ -78,7 +95,7 @@ def _suggestion(i: int, name: str) -> Column:
         F.when(is_date, fmt).alias("format"),
         F.when(is_date, F.format_string("%.0f%% read as dates in the form %s", date_share * 100, fmt))
         .when(is_number, F.format_string("%.0f%% read as numbers", number_share * 100))
-        .when(is_category, F.format_string("%d distinct values (%.1f%%)", F.col(f"u{i}"), distinct_share * 100))
+        .when(is_category, F.format_string("%d distinct values (%.1f%%)", F.col("u"), distinct_share * 100))
         .when(is_mixed, "numbers beside text")
         .alias("reason"),
     )

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..ml import checks, knn, metrics, models
 from ..ml.boost import AdaBoost
-from ..operators.profile import value_counts
+from ..operators.profile import beside, value_counts
 from ..session import fresh_path
 from ..sources import sinks
 from .columns import _LINE_SQL, histogram_sql, rounded_bins, rounded_line
 from .quality import rounded
-from .registry import CLASSIFIED, ESTIMATED, query, table
+from .registry import CLASSIFIED, ESTIMATED, EVENTS, LINES, query, table
 
 FEATURES = ["p_size", "p_retailprice"]
 
@@ -191,6 +191,26 @@ def target_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return value_counts(table(spark, sf, "labels"), "toxic", None)
 
 
+@query(histogram_sql("l_extendedprice", LINES.sql, 30))
+def target_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded_bins(metrics.target_distribution(LINES.df(spark, sf), "l_extendedprice", "regression"))
+
+
+@query('SELECT event_type AS value, COUNT(*) AS "count" FROM ' + EVENTS.sql + " t WHERE event_type IS NOT NULL GROUP BY event_type")
+def target_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.target_distribution(EVENTS.df(spark, sf), "event_type", "classification")
+
+
+@query(
+    f"""SELECT a."rows", a.classes, b.least, b.greatest FROM (SELECT COUNT(event_type) AS "rows", COUNT(DISTINCT event_type) AS classes FROM {EVENTS.sql} t) a,
+    (SELECT MIN(value) AS least, MAX(value) AS greatest FROM {EVENTS.sql} t) b"""
+)
+def target_summary(spark: SparkSession, sf: str) -> DataFrame:
+    events = EVENTS.df(spark, sf)
+    classes = metrics.target_summary(events, "event_type", "classification")
+    return beside(classes, metrics.target_summary(events, "value", "regression").drop("rows"))
+
+
 # -- ranking ----------------------------------------------------------------
 # Brands stand in for models: their metrics are aggregates of the part table.
 _BOARD_SQL = """(SELECT p_brand AS "Model", CAST(COUNT(*) AS DOUBLE) AS "Training Time (s)", AVG(p_size) / 50 AS "CV Mean",

@@ -361,6 +361,13 @@ def remove_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.treat(EVENTS.df(spark, sf), "value", "remove").select("event_id", "value")
 
 
+@query(f"SELECT event_id, value FROM {EVENTS.sql} t, {_EVENT_IQR} b WHERE NOT COALESCE(value < lo OR value > hi, FALSE)")
+def treat_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows flagged before are removed, with the flag."""
+    flagged = outliers.treat(EVENTS.df(spark, sf), "value", "flag").select("event_id", "value", "is_outlier")
+    return outliers.treat_flagged(flagged, "remove")
+
+
 @query(f"SELECT event_id, ROUND(CASE WHEN value IS NOT NULL THEN LEAST(GREATEST(value, lo), hi) END, 6) AS value FROM {EVENTS.sql} t, {_EVENT_IQR} b")
 def cap_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(outliers.treat(EVENTS.df(spark, sf), "value", "cap").select("event_id", "value"), 6, "value")
@@ -416,7 +423,16 @@ def local_outlier_factors(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("value", F.round(F.log("lof"), 5).alias("log_factor"))
 
 
-@query()
+# The rows whose factor lies above the quantile of all factors that leaves a tenth.
+_LOF_FLAGS = _LOF.format(source=EVENTS.sql, k=20).replace(
+    "SELECT value, ROUND(LN(lof), 5) AS log_factor FROM v JOIN f ON v.p = f.p",
+    """, s AS (SELECT value, lof FROM v JOIN f ON v.p = f.p), q AS (SELECT QUANTILE_CONT(lof, 0.9) AS cut FROM s),
+    top AS (SELECT value, MAX(lof) AS lof FROM s GROUP BY value)
+    SELECT e.event_id, e.value, COALESCE(top.lof > q.cut, FALSE) AS is_outlier FROM {source} e LEFT JOIN top ON e.value = top.value, q""".replace("{source}", EVENTS.sql),
+)
+
+
+@query(_LOF_FLAGS)
 def local_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
     return anomaly.local_outlier_factor(EVENTS.df(spark, sf), "value", 0.1).select("event_id", "value", "is_outlier")
 

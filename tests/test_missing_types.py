@@ -177,3 +177,12 @@ def test_narrowing_limits_are_strict(spark):
 def test_whole_floats(spark):
     df = spark.createDataFrame([(1.0, 1.5), (None, 2.0)], "a double, b double")
     assert dict(types.whole_floats_to_long(df).dtypes) == {"a": "bigint", "b": "double"}
+
+
+def test_long_texts_are_judged_like_short_ones(spark, monkeypatch):
+    rows = [(str(i), f"{i}/3/2020" if i > 12 else "31/3/2020", "7" * 30 if i % 2 else "b 12") for i in range(60)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    short = types.suggest_types(df).collect()
+    monkeypatch.setattr(types, "LONG_TEXT", 0)
+    assert sorted(map(str, types.suggest_types(df).collect())) == sorted(map(str, short)) and len(short) >= 2
+    assert types.suggest_types(df.limit(0)).collect() == []

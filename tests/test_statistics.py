@@ -236,3 +236,38 @@ def test_hot_groups_are_dealt_over_parts(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_three_hundred_columns_correlate_in_one_scan(spark):
+    rng = np.random.default_rng(5)
+    wide = rng.normal(size=(500, 300)) * 50 + 1e7
+    wide[:, 1], wide[:, 5] = wide[:, 0] * -2, 3.0
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(wide, columns=[f"k{i}" for i in range(300)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), ", ".join(f"k{i} double" for i in range(300))).repartition(4)
+    found = correlation.correlation_pairs(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = pdf.corr(min_periods=2)
+    rows = found.collect()
+    assert len(rows) == 300 * 299 // 2
+    for r in rows:
+        if "k5" in (r.feature_1, r.feature_2):
+            assert r.correlation is None
+        else:
+            assert r.correlation == pytest.approx(want.loc[r.feature_1, r.feature_2], abs=1e-8)
+
+
+@pytest.mark.parametrize("patterns", [64, 2])
+def test_ranks_by_patterns_of_missing_values(spark, monkeypatch, patterns):
+    monkeypatch.setattr(correlation, "MOST_PATTERNS", patterns)  # beyond it, pairs are ranked one by one
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 4)) * 3)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = np.arange(400)
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, c double, d double").repartition(3)
+    want = pdf.corr("spearman")
+    for r in correlation.correlation_pairs(df, method="spearman").collect():
+        assert r.correlation == pytest.approx(want.loc[r.feature_1, r.feature_2], abs=1e-9)
+    empty = correlation.correlation_pairs(df.limit(0), method="spearman").collect()
+    assert len(empty) == 6 and all(r.correlation is None for r in empty)
