@@ -19,8 +19,9 @@ leaves (a larger ``sample`` and a smaller ``leaf``) reach it with a
 thousandth (a smaller ``share``).
 
 Cases: vectors that are null, zero, or hold a null or a number that is not finite take
-no part, nor do rows with a null id or, if lengths differ, vectors shorter than the
-longest; with fewer candidates than k all found are returned; ties go to the smaller
+no part, nor do rows with a null id; vectors meet those with as many components alone,
+each number of components being a search of its own; vectors whose squares would leave
+the range of a double are scaled first, which no cosine shows; with fewer candidates than k all found are returned; ties go to the smaller
 id; rows with one id and vector count once; an empty table gives no rows.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,6 +135,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def in_range(vector: Column) -> Column:
+    """The vector, scaled where the square of its largest component would overflow or vanish."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.when((most > 1e100) | (most < 1e-100), F.transform(vector, lambda x: x / most)).otherwise(vector)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), np.float64)
 
@@ -164,12 +172,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = vectors.filter(F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = scratch.store(stamped(rows.filter(usable(F.col("vector")))), "ann-rows")
-    n, size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not n:
-        return empty
-    rows = rows.filter(F.size("vector") == size)
+    rows = scratch.store(stamped(rows.filter(usable(F.col("vector"))).withColumn("vector", in_range(F.col("vector")))), "ann-rows")
+    sizes = [r.size for r in rows.select(F.size("vector").alias("size")).distinct().collect()]
+    found = [_search(rows.filter(F.size("vector") == size), size, scratch, k, sample, trees, leaf, visits, share) for size in sizes]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"query_id {rows.schema['id'].dataType.simpleString()}, rank int, vec_id {rows.schema['id'].dataType.simpleString()}, score double")
+
+
+def _search(rows: DataFrame, size: int, scratch: Scratch, k: int, sample: int, trees: int, leaf: int, visits: int, share: float) -> DataFrame:
+    """The search among stored rows of one number of components."""
+    spark = rows.sparkSession
     # Of equal vectors, the smallest ids: first within each partition, then over all.
     few = rows
     for keys in (["vector", "__part"], ["vector"]):
