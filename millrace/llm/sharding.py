@@ -10,8 +10,9 @@ record. The map has ``SLOTS`` rows at any size, so the driver edits it and it is
 broadcast. Records are numbered per slot and input partition, so no slot needs to fit
 in one task.
 
-Cases: a null text has no bytes, so size 1, and a null checksum; repeated rows hash to
-one slot and get different numbers; an empty table gives no rows and an even map.
+Cases: a null text has no bytes, so size 1, and a null checksum; equal rows are numbered
+and spread over slots by number, so any share of them fits under near equal shards
+(``place`` sees no numbers: give it a column that tells them apart); an empty table gives no rows and an even map.
 """
 
 from __future__ import annotations
@@ -104,8 +105,12 @@ def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, doc_id: str = "
     """One row per record: doc_id, size, text_crc32, virtual_slot, map_version, shard and its place ``slot`` in the shard."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    records = docs.select(F.col(doc_id).alias("doc_id"), size_of(text).alias("size"), F.crc32(text).alias("text_crc32"), slot_of([doc_id, text], slots).alias("virtual_slot"))
+    records = docs.select(F.col(doc_id).alias("doc_id"), size_of(text).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(doc_id, text).alias("__hash"))
     records = scratch.store(stamped(records), "shard-records")
+    # The first of equal rows keeps the slot of its hash; the others' numbers take them to slots of their own.
+    copy = F.when(F.col("__copy") == 0, F.col("__hash")).otherwise(F.xxhash64("__hash", "__copy"))
+    records = ordinal_within(records, ["doc_id", "__hash"], "__copy").withColumn("virtual_slot", F.pmod(copy, F.lit(slots)).cast("int"))
+    records = scratch.store(records.drop("__hash", "__copy"), "shard-slots")
     totals = {r.virtual_slot: (r.n, r.b) for r in records.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}  # at most ``slots`` rows
     first = even_map(shards, slots)
     edited = rebalance(first, {k: b for k, (_, b) in totals.items()}, shards)
