@@ -166,6 +166,7 @@ def _rounded(units: DataFrame, most: int, seed: int, scratch: Scratch) -> DataFr
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 20) -> DataFrame:
     """Add source_size, target, copies and taken to a table from ``measure``."""
     scratch = Scratch(docs.sparkSession)
+    docs = docs.drop(*RESULTS[1:])
     keys = [F.col(doc_id).alias("doc"), F.col(source).alias("source"), "size", F.col("__crc").alias("crc")]
     units = scratch.store(docs.select(*keys).groupBy("doc", "source", "size", "crc").agg(F.count("*").alias("m")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("__n"))
@@ -173,15 +174,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     units = units.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     exact = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("m")
     units = units.withColumn("base", F.floor(exact)).withColumn("__p", exact - F.floor(exact)).withColumn("__k", F.xxhash64(F.lit(seed), "doc", "source", "size", "crc"))
-    units = _rounded(units, most, seed, scratch).select("doc", F.col("source").alias("__source"), F.col("size").alias("__size"), "crc", "m", "source_size", "target", (F.col("base") + F.col("bump")).alias("__copies"))
-    same = F.col(doc_id).eqNullSafe(F.col("doc")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & F.col("__crc").eqNullSafe(F.col("crc"))
+    units = _rounded(units, most, seed, scratch).select(F.col("doc").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("crc").alias("__text"), F.col("m").alias("__m"), "source_size", "target", (F.col("base") + F.col("bump")).alias("__copies"))
+    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & F.col("__crc").eqNullSafe(F.col("__text"))
     joined = docs.join(units, same)
-    once = joined.filter("m = 1").withColumn("copies", F.col("__copies"))
-    again = ordinal_within(scratch.store(stamped(joined.filter("m > 1")), "mix-repeated"), ["doc", "__source", "__size", "crc"], "__i").drop("__part", "__pos")
-    share = F.floor(F.col("__copies") / F.col("m")) + (F.col("__i") < F.col("__copies") % F.col("m")).cast("bigint")
+    once = joined.filter("__m = 1").withColumn("copies", F.col("__copies"))
+    again = ordinal_within(scratch.store(stamped(joined.filter("__m > 1")), "mix-repeated"), ["__doc", "__source", "__size", "__text"], "__i").drop("__part", "__pos")
+    share = F.floor(F.col("__copies") / F.col("__m")) + (F.col("__i") < F.col("__copies") % F.col("__m")).cast("bigint")
     rows = once.unionByName(again.withColumn("copies", share).drop("__i"))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("doc", "__source", "__size", "crc", "__crc", "m", "__copies")
+    return rows.drop("__doc", "__source", "__size", "__text", "__crc", "__m", "__copies")
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Neighbours, sharding, chat, language, token counts, mixing and the pipeline."""
 
+import math
 import zlib
 
 import numpy as np
@@ -207,3 +208,39 @@ def test_pipeline_on_an_empty_table(spark, sf_dir):
 
 def test_sql_is_for_registered_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_neighbours_of_every_length_and_magnitude(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(60)] + [(100, [1.0, 2.0, 3.0]), (101, [3.0, 2.0, 1.0]), (150, [1e200, 2e200]), (151, [1e-200, 2e-200]), (152, [-1e300, 1e-300])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.neighbours(vectors, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+
+    def cosine(a, b):
+        a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for q, v in rows:
+        if q % 50 == 0:
+            near = sorted((-round(cosine(v, w), 12), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            assert [round(s, 9) for _, (_, s) in sorted(got[q].items())] == [round(-s, 9) for s, _ in near]
+    assert [r[0] for r in got[100].values()] == [101] and got[150][1][0] in (151, *range(60))
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 3000 + [(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    got = sharding.assign(docs.repartition(5), shards=8).toPandas()
+    load = got["size"].groupby(got["shard"]).sum()
+    assert len(got) == 6000 and len(load) == 8 and load.max() <= 1.02 * load.min()
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard"))
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, "a" if i % 3 else None, "w " * (i % 9 + 1), i, "m", i, "t") for i in range(90)] + [(5, "a", "twice", 1, "m", 2, "t")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, doc long, m string, crc long, target string")
+    mixed = mixing.mix(mixing.measure(docs)).toPandas()
+    assert len(mixed) == 94 and {"doc", "m", "crc"} <= set(mixed.columns) and set(mixed["m"]) == {"m"}
+    plain = mixing.mix(mixing.measure(docs.select("doc_id", "source", "text"))).toPandas()
+    assert sorted(plain["taken"]) == sorted(mixed["taken"])
+    assert set(mixing.repeat(mixing.mix(mixing.measure(docs))).columns) == set(docs.columns) - {"target"}
