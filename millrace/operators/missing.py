@@ -107,9 +107,9 @@ def _fill_constant(df: DataFrame, name: str, value: Any, widen: bool) -> Column:
 
 
 def _fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:
-    wide = df
-    for i, c in enumerate(columns):
-        wide = wide.crossJoin(F.broadcast(mode_of(df, c).withColumnRenamed("value", f"s{i}")))
+    # All modes in one pass over the columns of a kind; they come back as text.
+    modes = value_summary(df, columns, modes=True).select(*[F.col(f"t{i}").cast(df.schema[c].dataType).alias(f"s{i}") for i, c in enumerate(columns)])
+    wide = df.crossJoin(F.broadcast(modes))
     filled = {}
     for i, c in enumerate(columns):
         text = isinstance(df.schema[c].dataType, T.StringType)

@@ -98,13 +98,6 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def type_counts(df: DataFrame) -> DataFrame:
-    """Columns per exact type; known from the schema alone."""
-    names = [f.dataType.simpleString() for f in df.schema.fields]
-    rows = [(t, names.count(t)) for t in sorted(set(names))]
-    return df.sparkSession.createDataFrame(rows, "type string, columns int")
-
-
 def column_info(df: DataFrame) -> DataFrame:
     """One row per column: type, missing and distinct values."""
     nulls = df.agg(*[null_count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])

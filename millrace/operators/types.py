@@ -260,10 +260,3 @@ def narrow_types(df: DataFrame, category_share: float = 0.5) -> tuple[DataFrame,
     changes = narrowing(df, category_share)
     targets = {r["column"]: r["spark_type"] for r in changes.collect()}
     return df.select(*[col(c).cast(targets[c]).alias(c) if c in targets else col(c) for c in df.columns]), changes
-
-
-def lost_values(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
-    """One row: how many more NULLs the column has after a conversion."""
-    old = before.agg(null_count(col(name)).alias("_b"))
-    new = after.agg(null_count(col(name)).alias("_a"))
-    return beside(old, new).select((F.col("_a") - F.col("_b")).alias("lost"))
