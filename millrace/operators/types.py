@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..functions.kinds import INTEGRAL, as_list, col, kind_of, require, text_columns
-from ..functions.moments import null_count, rows_from, share
+from ..functions.moments import rows_from, share
 from .profile import beside, value_summary
 
 # Values read as booleans, and the shorter list of the strict variant (fixed values).
