@@ -15,6 +15,10 @@ Output grows with turns times the participants of their conversation, which is w
 rotation asks for. System turns are not a participant: they open every rendering as
 they are.
 
+Marks inside a text or role are written with a backslash after the ``<`` (one more where
+there are some already, so that they can be told back), and line breaks inside a role as
+blanks: no text opens or closes a turn.
+
 Cases: a null or empty text is a turn with an empty body; a null role is a participant
 named ``unknown``; rows with a null conversation belong to one conversation; ties in
 ``turn`` are ordered by role and text, and repeated rows all stay; a conversation with
@@ -24,7 +28,7 @@ other input columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, stamped
@@ -34,6 +38,11 @@ UNKNOWN = "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def unmarked(text: Column | str) -> Column:
+    """The text with a backslash in every mark."""
+    return F.regexp_replace(text, r"<(\\*)\|(im_start|im_end)\|>", r"<$1\\|$2|>")
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, participant, position, role, piece, piece_start, piece_end, mask_start, mask_end.
 
@@ -51,10 +60,10 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     people = rows.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__c"), F.col("role").alias("participant")).distinct()
     seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
     own = F.col("role") == F.col("participant")
-    name = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.col("role")))
+    name = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.regexp_replace(unmarked("role"), r"[\r\n]", " ")))
     head = F.concat(F.lit(OPEN), name, F.lit("\n"))
     seen = seen.withColumn("__own", own).withColumn("__head", F.length(head).cast("bigint"))
-    seen = seen.withColumn("piece", F.concat(head, "text", F.lit(CLOSE))).withColumn("__len", F.length("piece").cast("bigint"))
+    seen = seen.withColumn("piece", F.concat(head, unmarked("text"), F.lit(CLOSE))).withColumn("__len", F.length("piece").cast("bigint"))
 
     keys = ["conv_id", "participant"]
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

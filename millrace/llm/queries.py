@@ -62,7 +62,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-@query("""
+@query(r"""
 WITH spoken AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, role AS participant FROM spoken WHERE role <> 'system'),
@@ -70,8 +70,8 @@ pieces AS (
   SELECT p.conv_id, p.participant, s.role,
     row_number() OVER (PARTITION BY p.conv_id, p.participant ORDER BY s.turn, s.role, md5(s.text)) - 1 AS position,
     '<|im_start|>' || CASE WHEN s.role = p.participant THEN 'assistant' WHEN s.role = 'system' THEN 'system'
-      ELSE 'user name=' || s.role END || chr(10) AS head,
-    s.text || '<|im_end|>' || chr(10) AS tail
+      ELSE 'user name=' || regexp_replace(regexp_replace(s.role, '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g'), '[\r\n]', ' ', 'g') END || chr(10) AS head,
+    regexp_replace(s.text, '<(\\*)\|(im_start|im_end)\|>', '<\1\\|\2|>', 'g') || '<|im_end|>' || chr(10) AS tail
   FROM people p JOIN spoken s ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, CAST(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, participant ORDER BY position) AS BIGINT) AS piece_end
