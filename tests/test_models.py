@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.ml import checks, knn, metrics, models
 from millrace.ml.boost import AdaBoost
+from millrace.ml.weights import Condensed
 from millrace.session import Tables
 from millrace.sources import sinks
 
@@ -211,3 +212,36 @@ def test_folds_are_shared_and_scored_by_rows(spark, table):
     assert models.fold_scores(with_null, "roc_auc").first()["value"] is None
     checked = models.cross_validate_all(lines, two, "roc_auc", folds=3, key="i")
     assert all(mean > 0.8 and std < 0.2 for mean, std in checked.values())
+
+
+def test_equal_rows_are_fitted_once_by_weight(table):
+    few = models.label_rows(table, "side", "classification").select(F.round("a", 1).alias("a"), F.round("b", 1).alias("b"), "label")
+    many = few.unionAll(few).unionAll(few.filter("a > 0"))
+    for name, est in models.classifiers(2, 2, 1000).items():
+        line = models.pipeline(name, est, ["a", "b"])
+        assert isinstance(line.getStages()[-1], Condensed) == (name not in ("Random Forest", "K-Neighbors", "Neural Network"))
+    for name, est in (("Logistic Regression", models.classifiers(2, 2, 1000)["Logistic Regression"]), ("Decision Tree", C.DecisionTreeClassifier(maxDepth=4, seed=1)), ("AdaBoost", AdaBoost(rounds=4))):
+        line = models.pipeline(name, est, ["a", "b"])
+        plain = models.Pipeline(stages=[*line.getStages()[:-1], est])
+        got, want = (p.fit(many).transform(few).select("a", "b", "probability").collect() for p in (line, plain))
+        sides = [sorted((r.a, r.b, *r.probability.toArray()) for r in rows) for rows in (got, want)]
+        np.testing.assert_allclose(sides[0], sides[1], atol=1e-5)
+
+
+def test_narrow_tables_are_dealt_over_the_cores(spark):
+    with Tables(spark) as tables:
+        dealt = tables.deal(spark.range(0, 200_000, 1, 1))
+        assert dealt.count() == 200_000 and dealt.rdd.getNumPartitions() >= 4
+        assert tables.deal(spark.range(0, 0, 1, 1)).count() == 0
+
+
+def test_base_models_of_a_stack_are_scored_once(spark, labelled, monkeypatch):
+    calls = []
+    plain = knn.KNearestModel._transform
+    monkeypatch.setattr(knn.KNearestModel, "_transform", lambda self, df: calls.append(1) or plain(self, df))
+    stored = []
+    keep = Tables.keep
+    monkeypatch.setattr(Tables, "keep", lambda self, df, label="table": stored.append(label) or keep(self, df, label))
+    base = {"K-Neighbors": knn.KNearest(k=5), "Decision Tree": C.DecisionTreeClassifier(maxDepth=3), "Naive Bayes": C.NaiveBayes(modelType="gaussian")}
+    models.Stack(base, ["a", "b"], "classification", folds=3).fit(labelled.select("a", "b", "label"))
+    assert len(calls) == 3 and stored.count("stack-fold") == 3
