@@ -134,6 +134,16 @@ def test_repeats_equal_brute_force(spark):
     assert removed(repeats.remove_repeats(frame(spark, rows))) == brute.repeats(rows)
 
 
+def test_parts_below_the_length_do_not_reach_the_suffix_sort(spark):
+    r = random.Random(6)
+    shared = [bytes(r.choice(b"abcdefgh") for _ in range(n)) for n in (39, 60)]
+    rows = [(10 * k + side, 10 * k + side, bytes([65 + side]) * 3 + part + bytes([75 + side]) * 30) for k, part in enumerate(shared) for side in range(3)]
+    runs = repeats.shared_runs(spark.createDataFrame(rows, "chunk long, doc long, bytes binary")).collect()
+    assert {x.chunk for x in runs} == {10, 11, 12}
+    whole = {c: bytes(b) for c, _, b in rows}
+    assert all(bytes(x.bytes) == whole[x.chunk][x.off :][: len(x.bytes)] and shared[1] in bytes(x.bytes) for x in runs)
+
+
 def test_repeats_of_equal_rows_and_null_ids(spark):
     text = "0123456789" * 8
     rows = [(3, text), (3, text), (None, text), (5, text), (4, None)]
