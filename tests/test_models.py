@@ -5,7 +5,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import evaluation as E
 from pyspark.sql import functions as F
 
-from millrace.ml import checks, knn, metrics, models
+from millrace.ml import checks, knn, metrics, models, weights
 from millrace.ml.boost import AdaBoost
 from millrace.ml.weights import Condensed
 from millrace.session import Tables
@@ -245,3 +245,37 @@ def test_base_models_of_a_stack_are_scored_once(spark, labelled, monkeypatch):
     base = {"K-Neighbors": knn.KNearest(k=5), "Decision Tree": C.DecisionTreeClassifier(maxDepth=3), "Naive Bayes": C.NaiveBayes(modelType="gaussian")}
     models.Stack(base, ["a", "b"], "classification", folds=3).fit(labelled.select("a", "b", "label"))
     assert len(calls) == 3 and stored.count("stack-fold") == 3
+
+
+def test_copies_of_rows_are_fitted_and_scored_once(spark, table, monkeypatch):
+    few = models.label_rows(table, "side", "classification").selectExpr("i", "ROUND(a, 1) AS a", "ROUND(b, 1) AS b", "side", "label").limit(60)
+    many = few.crossJoin(spark.range(50).withColumnRenamed("id", "copy"))
+    seen = []
+    fit = Condensed._fit
+    monkeypatch.setattr(Condensed, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    lines = {"Logistic Regression": models.pipeline("Logistic Regression", models.classifiers(2, 2, 1000)["Logistic Regression"], ["a", "b"])}
+    with Tables(spark) as tables:
+        rows = models.out_of_fold(lines, many, tables, folds=3, key="i")
+        assert rows.count() == 3000 and max(seen) <= 60
+        assert rows.groupBy("fold", "label").count().filter("count % 50 <> 0").count() == 0
+        want = {r.fold: r.value for r in models.fold_scores(rows, "f1_weighted").collect()}
+    checked = models.cross_validate_all(lines, many, "f1_weighted", folds=3, key="i")
+    assert checked["Logistic Regression"][0] == pytest.approx(sum(want.values()) / 3)
+    seen.clear()
+    models.train_models(many.drop("label"), ["a", "b"], "side", "classification", ["Decision Tree"], folds=None, key="i")
+    base = {n: models.classifiers(2, 2, 1000)[n] for n in ("Logistic Regression", "Decision Tree", "Naive Bayes")}
+    models.Stack(base, ["a", "b"], "classification", folds=3).fit(many.select("a", "b", "label"))
+    assert max(seen) <= 60
+
+
+def test_a_scaler_counts_what_rows_stand_for(spark):
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = spark.createDataFrame([(1.0, 5.0, 3), (2.5, 5.0, 1), (-4.0, 5.0, 2000)], "a double, b double, n bigint").withColumnRenamed("n", weights.STANDS_FOR)
+    put = VectorAssembler(inputCols=["a", "b"], outputCol="x")
+    scaler = StandardScaler(inputCol="x", outputCol="features", withMean=True, withStd=True)
+    every = weights.every_row(rows)
+    assert every.count() == 2004
+    got, want = weights.Scaled(scaler).fit(put.transform(rows)), scaler.fit(put.transform(every))
+    np.testing.assert_allclose(got.mean.toArray(), want.mean.toArray())
+    np.testing.assert_allclose(got.std.toArray(), want.std.toArray(), atol=1e-12)
