@@ -153,3 +153,19 @@ def test_fuzzy_pairs_of_short_and_long_values(spark, threshold):
     want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if 200 * lcs_length(a, b) >= threshold * (len(a) + len(b)) - 1e-6}
     found = fuzzy.fuzzy_pairs(spark.createDataFrame([(x,) for x in values], "t string"), "t", threshold).collect()
     assert {(f.value_1, f.value_2) for f in found} == want and len(found) == len(want)
+
+
+def test_fuzzy_lines_of_prose_meet_at_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "PASS", 2_000, raising=False)  # lines of one length in several passes
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randrange(8, 60))) for _ in range(150)]
+    # Edits at even distances, the hardest to meet at anything; as many as 95 % allow, or one more.
+    lines += ["".join("#" if i % 20 == 10 else c for i, c in enumerate(line)) for line in lines[:40]]
+    lines += [line[: len(line) // 2] + line[len(line) // 2 + len(line) // 11 :] for line in lines[40:80]]
+    values = sorted(set(lines))
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if 200 * lcs_length(a, b) >= 95 * (len(a) + len(b)) - 1e-6}
+    found = fuzzy.fuzzy_pairs(spark.createDataFrame([(x,) for x in lines], "t string"), "t", 95).collect()
+    assert {(f.value_1, f.value_2) for f in found} == want and len(want) > 50
+    numbered = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(values)], "_id long, _value string, _len int")
+    assert fuzzy.candidate_pairs(numbered, 95).count() < 2 * len(want)
