@@ -3,9 +3,10 @@ import pandas as pd
 import pytest
 from pyspark.ml import classification as C
 from pyspark.ml import evaluation as E
+from pyspark.ml import regression as R
 from pyspark.sql import functions as F
 
-from millrace.ml import checks, knn, metrics, models, weights
+from millrace.ml import checks, forest, knn, metrics, models, weights
 from millrace.ml.boost import AdaBoost
 from millrace.ml.weights import Condensed
 from millrace.session import Tables
@@ -279,3 +280,69 @@ def test_a_scaler_counts_what_rows_stand_for(spark):
     got, want = weights.Scaled(scaler).fit(put.transform(rows)), scaler.fit(put.transform(every))
     np.testing.assert_allclose(got.mean.toArray(), want.mean.toArray())
     np.testing.assert_allclose(got.std.toArray(), want.std.toArray(), atol=1e-12)
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """3,000 rows of at most 60 cells."""
+    rng = np.random.default_rng(12)
+    a, b = rng.integers(0, 10, 3000) * 1.0, rng.integers(0, 6, 3000) * 0.5
+    y = np.where(a > 4, 2 * a, -b) + rng.integers(0, 3, 3000)
+    return spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": y, "side": (y > 3) * 1.0 + (y > 12)})).repartition(4).cache()
+
+
+@pytest.mark.parametrize("kind, label", [(R.RandomForestRegressor, "y"), (C.RandomForestClassifier, "side")])
+def test_a_forest_grows_the_trees_of_mllib_from_cells(copies, kind, label, tmp_path):
+    rows = copies.withColumnRenamed(label, "label")
+    one = kind(numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxDepth=30, minInstancesPerNode=40, seed=3)
+    line = models.pipeline("Random Forest", one, ["a", "b"])
+    plain = models.Pipeline(stages=[line.getStages()[0], one])
+    fitted = [line.fit(weights.distinct_rows(rows, ["a", "b", "label"])), line.fit(rows), plain.fit(rows)]
+    assert [isinstance(f.stages[-1], forest.ForestModel) for f in fitted] == [True, True, False]
+    sinks.save_model(fitted[0], f"{tmp_path}/forest")
+    fitted.append(sinks.load_model(f"{tmp_path}/forest"))
+    points = rows.select("a", "b").distinct()
+    answers = ["prediction", *(["probability", "rawPrediction"] if kind is C.RandomForestClassifier else [])]
+    got = [f.transform(points).orderBy("a", "b").toPandas()[answers] for f in fitted]
+    for side in got[:2] + got[3:]:
+        for c in answers:
+            np.testing.assert_allclose(np.vstack(side[c].map(np.atleast_1d)), np.vstack(got[2][c].map(np.atleast_1d)), atol=1e-9)
+    np.testing.assert_allclose(fitted[0].stages[-1].featureImportances.toArray(), fitted[2].stages[-1].featureImportances.toArray(), atol=1e-9)
+    many = kind(numTrees=30, maxDepth=30, featureSubsetStrategy="all", seed=3)
+    line = models.pipeline("Random Forest", many, ["a", "b"])
+    both = [f.fit(rows).transform(points).orderBy("a", "b").toPandas().prediction for f in (line, models.Pipeline(stages=[line.getStages()[0], many]))]
+    assert np.corrcoef(*both)[0, 1] > 0.99
+
+
+def test_a_bootstrap_draws_rows_and_not_distinct_rows(spark):
+    from millrace.functions.kernels import drawn_sums
+
+    rows = pd.DataFrame({"cell": ["0", "1", "0"], "y": [1.0, 2.0, 3.0], "n": [400, 900, 0]})
+    (drawn,) = drawn_sums(iter([rows]), ["cell"], "n", 2000, 1.0, True, 3, [5])
+    for w, mean in zip(drawn.w, (400, 900)):
+        assert abs(w.mean() - mean) < 3 and 0.8 * mean < w.var() < 1.2 * mean  # a Poisson draw a row
+    np.testing.assert_allclose(drawn.q[1], 4 * drawn.w[1])
+
+
+@pytest.mark.parametrize("problem", ["classification", "regression"])
+def test_neighbours_are_fitted_on_distinct_rows(copies, problem):
+    rows = copies.withColumnRenamed("side" if problem == "classification" else "y", "label")
+    line = models.pipeline("K-Neighbors", knn.KNearest(k=5, problem=problem), ["a", "b"], scale=False)
+    assert weights.takes_distinct(line)
+    points = rows.selectExpr("a + 0.3 AS a", "b").distinct()
+    got, want = (line.fit(t).transform(points).orderBy("a", "b").toPandas().prediction for t in (weights.distinct_rows(rows, ["a", "b", "label"]), rows))
+    np.testing.assert_allclose(got, want)
+
+
+def test_tuning_fits_distinct_rows_and_every_point_of_the_grid(copies, monkeypatch):
+    seen = []
+    for kind in (forest.Forest, Condensed):
+        monkeypatch.setattr(kind, "_fit", lambda self, df, fit=kind._fit: seen.append(df.count()) or fit(self, df))
+    rows = copies.withColumn("label", (F.col("side") > 0).cast("double"))
+    for name, est, grid in (
+        ("Random Forest", C.RandomForestClassifier(seed=1, numTrees=5), {"maxDepth": [1, 3]}),
+        ("Gradient Boosting", C.GBTClassifier(seed=1, maxIter=1), {"maxDepth": [1, 3]}),
+    ):
+        found = models.tune(name, est, rows, ["a", "b"], "accuracy", grid)
+        assert found.avgMetrics[0] < found.avgMetrics[1]
+    assert max(seen) <= 360  # distinct rows of the folds
