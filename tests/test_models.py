@@ -338,7 +338,7 @@ def test_tuning_fits_distinct_rows_and_every_point_of_the_grid(copies, monkeypat
     seen = []
     for kind in (forest.Forest, Condensed):
         monkeypatch.setattr(kind, "_fit", lambda self, df, fit=kind._fit: seen.append(df.count()) or fit(self, df))
-    rows = copies.withColumn("label", (F.col("side") > 0).cast("double"))
+    rows = copies.withColumn("label", F.expr("CAST(a > 4 AND b > 0.5 AS DOUBLE)"))
     for name, est, grid in (
         ("Random Forest", C.RandomForestClassifier(seed=1, numTrees=5), {"maxDepth": [1, 3]}),
         ("Gradient Boosting", C.GBTClassifier(seed=1, maxIter=1), {"maxDepth": [1, 3]}),
