@@ -346,3 +346,37 @@ def test_tuning_fits_distinct_rows_and_every_point_of_the_grid(copies, monkeypat
         found = models.tune(name, est, rows, ["a", "b"], "accuracy", grid)
         assert found.avgMetrics[0] < found.avgMetrics[1]
     assert max(seen) <= 360  # distinct rows of the folds
+
+
+@pytest.mark.parametrize("kind, label", [(R.RandomForestRegressor, "y"), (C.RandomForestClassifier, "side")])
+def test_forests_of_a_grid_are_those_fitted_alone(copies, kind, label, monkeypatch):
+    rows = weights.distinct_rows(copies.withColumnRenamed(label, "label"), ["a", "b", "label"])
+    est = kind(seed=3, maxDepth=4)
+    line = models.Line(stages=models.pipeline("Random Forest", est, ["a", "b"]).getStages())
+    summed = []
+    monkeypatch.setattr(forest, "_sums", lambda *a, sums=forest._sums: summed.append(a) or sums(*a))
+    grid = [{est.numTrees: 1, est.maxDepth: 2}, {est.numTrees: 6, est.maxDepth: 9}, {est.numTrees: 3, est.maxBins: 2}]
+    points = rows.select("a", "b").distinct()
+    got = {i: m.transform(points).orderBy("a", "b").toPandas().prediction for i, m in line.fitMultiple(rows, grid)}
+    assert len(got) == 3 and len(summed) == 2  # rows are drawn once for each way to cut them into cells
+    for i, params in enumerate(grid):
+        alone = models.pipeline("Random Forest", est.copy(params), ["a", "b"]).fit(rows)
+        assert len(alone.stages[-1].trees) == params[est.numTrees]
+        np.testing.assert_allclose(got[i], alone.transform(points).orderBy("a", "b").toPandas().prediction)
+
+
+def test_the_tune_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
+    from millrace.plans import learning
+
+    searched = []
+
+    class Search(models.CrossValidator):
+        def fit(self, df):
+            searched.extend({p.name: v for p, v in params.items()} for params in self.getEstimatorParamMaps())
+            return None
+
+    monkeypatch.setattr(models, "CrossValidator", Search)
+    monkeypatch.setattr(models, "tuning_table", lambda found: found)
+    learning.tune(spark, sf_dir)
+    want = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (50, 100, 200) for d in (30, 10, 20) for m in (1, 2)]
+    assert sorted(searched, key=str) == sorted(want, key=str)
