@@ -6,7 +6,7 @@ from pyspark.ml import evaluation as E
 from pyspark.ml import regression as R
 from pyspark.sql import functions as F
 
-from millrace.ml import checks, forest, knn, metrics, models, weights
+from millrace.ml import checks, forest, knn, metrics, models, network, weights
 from millrace.ml.boost import AdaBoost
 from millrace.ml.weights import Condensed
 from millrace.session import Tables
@@ -237,7 +237,6 @@ def test_narrow_tables_are_dealt_over_the_cores(spark):
 
 
 def test_base_models_of_a_stack_are_scored_once(spark, labelled, monkeypatch):
-    calls = []
     plain = knn.KNearestModel._transform
     monkeypatch.setattr(knn.KNearestModel, "_transform", lambda self, df: calls.append(1) or plain(self, df))
     stored = []
@@ -380,3 +379,33 @@ def test_the_tune_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
     learning.tune(spark, sf_dir)
     want = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (50, 100, 200) for d in (30, 10, 20) for m in (1, 2)]
     assert sorted(searched, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("steps", [12, 400])
+def test_a_network_takes_the_steps_of_mllib_on_distinct_rows(spark, steps):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-4, 5, 3000) * 0.5, rng.integers(-3, 4, 3000) * 0.5
+    rows = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "label": ((a * b > 0.3) * 1.0 + (a > 1.4))})).coalesce(1).cache()
+    base = C.MultilayerPerceptronClassifier(layers=[2, 5, 3], maxIter=steps, blockSize=3000, seed=9)  # all rows are one block
+    line = models.pipeline("Neural Network", base, ["a", "b"], scale=False)
+    plain = models.Pipeline(stages=[line.getStages()[0], base])
+    fitted = [f.fit(rows).stages[-1] for f in (line, plain)]
+    once = line.fit(weights.distinct_rows(rows, ["a", "b", "label"])).stages[-1]
+    assert fitted[0].getMaxIter() == steps and not fitted[0].hasDefault("initialWeights") and not fitted[0].isSet("initialWeights")
+    np.testing.assert_allclose(once.weights.toArray(), fitted[0].weights.toArray(), rtol=1e-9)
+    if steps < 50:
+        np.testing.assert_allclose(fitted[0].weights.toArray(), fitted[1].weights.toArray(), rtol=1e-5, atol=1e-7)
+    points = line.getStages()[0].transform(rows.select("a", "b").distinct().orderBy("a", "b"))
+    got, want = (np.vstack(f.transform(points).toPandas().probability.map(lambda v: v.toArray())) for f in fitted)
+    np.testing.assert_allclose(got, want, atol=0.01)
+
+
+def test_a_network_of_mostly_distinct_rows_is_fitted_by_mllib(table, monkeypatch):
+    monkeypatch.setattr(network, "fit_network", None)
+    rows = models.label_rows(table, "side", "classification")
+    base = C.MultilayerPerceptronClassifier(layers=[2, 4, 2], maxIter=5, seed=9)
+    line = models.pipeline("Neural Network", base, ["a", "b"])
+    want = models.Pipeline(stages=[*line.getStages()[:-1], base]).fit(rows).stages[-1].weights.toArray()
+    np.testing.assert_allclose(line.fit(rows).stages[-1].weights.toArray(), want)
+    with pytest.raises(Exception, match="(?i)label"):
+        line.fit(table.limit(300).selectExpr("a * 0 AS a", "b * 0 AS b", "7.0 AS label"))
