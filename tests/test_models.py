@@ -237,6 +237,7 @@ def test_narrow_tables_are_dealt_over_the_cores(spark):
 
 
 def test_base_models_of_a_stack_are_scored_once(spark, labelled, monkeypatch):
+    calls = []
     plain = knn.KNearestModel._transform
     monkeypatch.setattr(knn.KNearestModel, "_transform", lambda self, df: calls.append(1) or plain(self, df))
     stored = []
